@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe
+from sparkloom.llm import bpe, kdtree, media, mixing, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,61 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the piece vocabulary."""
+    return token_counts.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to shares by the square root of their sources' sizes."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as WAV samples with a fingerprint."""
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
+    return kdtree.search(_table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with counts of live-looking and copied ones."""
+    return secrets.summarize(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_token_counts": op4_token_counts, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op7_mixing"] = """
+WITH sizes AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+means AS (SELECT source, (SELECT sum(n) / sum(pow(n, 0.5)) FROM sizes) * pow(n, 0.5) / n AS mean FROM sizes),
+terms AS (SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM means, range(0, 400) AS r(k)),
+drawn AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS key, concat('0x', substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':1'), 1, 12))::BIGINT / 281474976710656.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, d.key, max(d.u) AS u, count(*) FILTER (WHERE t.cdf <= d.u) AS copies FROM (SELECT DISTINCT doc_id, key, u, source FROM drawn) d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, g.i::INTEGER AS copy_no, md5('7:order:' || d.key || ':' || g.i) AS mix_key
+FROM drawn d JOIN counted c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, LATERAL (SELECT unnest(generate_series(1, c.copies)) AS i) g
+"""
+
+ORACLE_SQL["op9_topk"] = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND vec_id IS NOT NULL),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM kept q JOIN kept c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+def _spans_sql(alias: str, pattern: str) -> str:
+    """List of (start, end, value) of a pattern's matches: what lies before each is what splitting leaves."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""(SELECT list({{'s': s, 'e': s + length(m), 'v': m}} ORDER BY i) FROM (
+      SELECT i, m, sum(length(b)) OVER (ORDER BY i) + coalesce(sum(length(m)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM (SELECT unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(list_slice(bs, 1, len(ms))) AS b
+            FROM (SELECT regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS bs)))) AS {alias}"""
