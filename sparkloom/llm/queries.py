@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, kdtree, media, mixing, secrets, token_counts
+from sparkloom.llm import bpe, jaccard, kdtree, media, mixing, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near-duplicates."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the piece vocabulary."""
     return token_counts.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -47,7 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarize(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_token_counts": op4_token_counts, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_jaccard": op2_jaccard, "op4_token_counts": op4_token_counts, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
 
