@@ -37,8 +37,10 @@ _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = _random_table(11, 256)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What parts words ``[^\\x20\\x09-\\x0D]+``, and words of letters and digits (bytes from 128 on are letters).
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_ALNUM = ~np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -81,10 +83,10 @@ def row_steps(offsets: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of rows that lie one after the other in ``data``.
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of rows that lie one after the other in ``data``: runs of bytes that ``space`` doesn't mark.
 
-    Returns the words' 64-bit hashes (A-Z as a-z if ``lower``), their first and
+    Returns the words' 64-bit hashes (A-Z as a-z), their first and
     past-the-end bytes in ``data[offsets[0]:]``, and n+1 offsets of rows into
     the words.  A polynomial hash over random byte values, by prefix sums: the
     work is a few vector operations on the whole range.
@@ -94,7 +96,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     n = len(buf)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(cuts), np.int64)
-    word = ~_SPACE[buf]
+    word = ~space[buf]
     border = np.zeros(n + 1, bool)
     border[cuts] = True
     begins = word.copy()
@@ -104,5 +106,5 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, U64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * power[:n], out=sums[1:])
+    np.cumsum(_BYTE_LOWER[buf] * power[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts]), starts, ends, np.searchsorted(starts, cuts)
