@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, jaccard, kdtree, language, media, mixing, secrets, token_counts
+from sparkloom.llm import bpe, jaccard, kdtree, language, licenses, media, mixing, secrets, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,21 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat, exactly or nearly, in other documents."""
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the piece vocabulary."""
     return token_counts.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.summarize(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of the labelled ones."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -60,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarize(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_jaccard": op2_jaccard, "op4_token_counts": op4_token_counts, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_jaccard": op2_jaccard, "op3_substrings": op3_substrings, "op4_token_counts": op4_token_counts, "op5_licenses": op5_licenses, "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
 
