@@ -1,9 +1,10 @@
 """N-gram Jaccard join in the metric space of shingle sets, exact.
 
-Documents with equal sets are one point. A point of n shingles that links with
-another shares one of its first n - ceil(t n) + 1 shingles with it, in any
-fixed order; so points that share such a *key* make up a block, and the
-smallest point of a block is its pivot. A pivot's *region* is all points of all
+Documents with equal sets are one point. The first n - ceil(t n) + k shingles of
+a point, in any fixed order, are its *keys*: two points that link share k keys
+at least. A point with fewer than k keys that any other has is alone (of two
+sizes the smaller k counts). The points left that share a key make up a block,
+and the smallest point of a block is its pivot. A pivot's *region* is all points of all
 its blocks: every pair that may link is in some region, and boundary points are
 in several. A region is then joined recursively and exactly: pivots split it
 into Voronoi cells by Jaccard distance, a point is replicated to each cell
@@ -35,11 +36,11 @@ from sparkloom.llm.components import connected_components
 WORDS = 5
 PERCENT = 80
 #: Points of a tile of a region.
-TILE = 512
+TILE = 1024
 #: Points that are compared pair by pair.
 LEAF = 24
 #: One document in so many is looked at for common shingles, and the most that are kept.
-SAMPLE = 32
+SAMPLE = 16
 COMMON_AT_MOST = 4_000_000
 _STEPS = mix(np.arange(1, 2 * WORDS + 2, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -77,6 +78,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def spare(n: int) -> int:
+    """Keys that two points share at least which link, if the smaller one has n shingles."""
+    return 1 + n // 10
+
+
 class Region:
     """Points given by sorted hash arrays, and their links found so far (a forest)."""
 
@@ -193,7 +199,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     common_here = last[at] == s
                     s = np.concatenate([s[~common_here], s[common_here]])
-                keys.append(s[: n[-1] - needed(n[-1], percent) + 1].view(np.int64) if n[-1] else s.view(np.int64))
+                keys.append(s[: n[-1] - needed(n[-1], percent) + spare(n[-1])].view(np.int64) if n[-1] else s.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "hi", "lo", "n", "keys"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -292,7 +298,13 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     points = _points(docs, id_col, text_col, percent)
     full = points.where("n > 0 and id is not null")
     firsts = full.groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    keys = full.join(firsts, ["hi", "lo", "id"], "left_semi").select("id", F.explode("keys").alias("key"))
+    keys = full.join(firsts, ["hi", "lo", "id"], "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
+    for _ in range(2):
+        held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        hits = materialize(keys.join(held, "key"), "hits")
+        enough = hits.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(F.col("c") >= least).select("id")
+        keys = hits.join(enough, "id", "left_semi").select("id", "n", "key")
     pivots = keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("top")).where("p < top").select("key", "p")
     stars = materialize(keys.join(pivots, "key").where("id <> p").select("p", "id").distinct(), "stars")
     counts = stars.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("tiles", F.ceil(F.col("m") / tile).cast("int"))
