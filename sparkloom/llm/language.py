@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import row_steps, text_buffers
 
@@ -222,28 +223,36 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
     return model
 
 
-def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the pooled probability of that language).
+def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all unless given) with lang_pred and score, the pooled probability of that language.
 
     'und' with score 0 where the text is null or has no letter, or if no
     language was learned. Columns of these names are replaced. Every byte of
-    every text is labelled; memory follows an Arrow batch.
+    every text is labelled; memory follows an Arrow batch. Rows pass through
+    Python whole: a scalar function would have Spark keep them on disk meanwhile.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     text = F.col(text_col).cast("string")
-    usable = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    usable = F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), text)
+    sent = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), (usable if text_col not in names else F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).alias("__usable"))
+    schema = T.StructType(sent.schema.fields[:-1])
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for texts in batches:
-            data, offsets = text_buffers(pa.Array.from_pandas(texts, type=pa.large_string()))
-            prob = np.concatenate([model.pooled(data, offsets[a : b + 1]) for a, b in row_steps(offsets, LANES * SEGMENT)]) if len(texts) else np.zeros((0, len(model.languages)))
-            best = prob.argmax(1) if len(texts) else np.zeros(0, int)
-            yield pd.DataFrame({"lang_pred": [model.languages[i] for i in best], "score": np.round(np.minimum(prob[np.arange(len(best)), best], 1.0), 6)})
-
-    found = docs.select(*names, F.when(usable, label(F.when(usable, text))).alias("__found"))
-    return found.select(*names, F.when(usable, F.col("__found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(usable, F.col("__found.score")).otherwise(0.0).alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for batch in batches:
+            flag = batch.column(batch.num_columns - 1)
+            texts = flag if text_col not in names else pc.if_else(flag, batch.column(names.index(text_col)).cast(pa.large_string()), None)
+            data, offsets = text_buffers(texts)
+            known = texts.is_valid().to_numpy(zero_copy_only=False)
+            parts = [net.pooled(data, offsets[a : b + 1]) for a, b in row_steps(offsets, 4 * LANES * SEGMENT)]
+            prob = np.concatenate(parts) if parts else np.zeros((0, len(net.languages)))
+            best = prob.argmax(1) if len(prob) else np.zeros(0, int)
+            label = [net.languages[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
+            score = np.where(known, np.round(np.minimum(prob[np.arange(len(best)), best], 1.0), 6), 0.0)
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+
+    return sent.mapInArrow(run, schema)

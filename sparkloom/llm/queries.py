@@ -47,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.where(fold != 2))
-    return language.predict(docs.select("doc_id", (fold == 2).alias("held_out"), "text"), model).drop("text")
+    return language.predict(docs.withColumn("held_out", fold == 2), model, keep=["doc_id", "held_out"])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
