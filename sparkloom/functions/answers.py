@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of answers.
@@ -88,35 +88,36 @@ def number_of(fields: Column) -> Column:
     return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
 
 
-def score(response: Column, truth: Column) -> Column:
-    """(overall, task, format, cot_format, answer_format) of a response, given the truth as JSON text.
+TRUTH = "reward_family string, value string, choice_gold string, fields map<string,string>"
+
+
+def with_score(df: DataFrame, response: str, truth: str, out: str = "score") -> DataFrame:
+    """Adds struct(overall, task, format, cot_format, answer_format) of a response, given the truth as JSON text.
 
     Choices score by equal letters, numbers by relative accuracy, several
-    choices by the share of equal fields; null equals null there.
+    choices by the share of equal fields; null equals null there. The steps are
+    columns of their own, so that each is worked out once.
     """
-    t = F.coalesce(F.from_json(truth, "reward_family string, value string, choice_gold string, fields map<string,string>"), F.struct(*(F.lit(None).cast(k).alias(n) for n, k in (("reward_family", "string"), ("value", "string"), ("choice_gold", "string"), ("fields", "map<string,string>")))))
-    family = F.lower(F.coalesce(_some(t["reward_family"]), F.lit("choice")))
-    said, gold = prediction(response), t["value"].try_cast("double")
-    value = number_of(said)
+    r = F.coalesce(F.col(response), F.lit(""))
+    steps = df.withColumn("__t", F.from_json(truth, TRUTH)).withColumn("__text", answer_text(r)).withColumn("__said", prediction(r))
+    t, text, said = F.col("__t"), F.col("__text"), F.col("__said")
+    steps = steps.withColumn("__family", F.lower(F.coalesce(_some(t["reward_family"]), F.lit("choice")))).withColumn("__fields", F.coalesce(t["fields"], F.create_map().cast("map<string,string>"))).withColumn("__parsed", json_map(text)).withColumn("__value", number_of(said)).withColumn("__gold", t["value"].try_cast("double"))
+    family, fields, parsed, value, gold = (F.col(c) for c in ("__family", "__fields", "__parsed", "__value", "__gold"))
     numeric = F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.abs(value - gold) / F.greatest(F.abs(gold), F.lit(1e-6))), F.lit(0.0))
-    fields = F.coalesce(t["fields"], F.create_map().cast("map<string,string>"))
     same = F.filter(F.map_entries(fields), lambda e: letter(F.try_element_at(said, e["key"])).eqNullSafe(letter(e["value"])))
     several = F.size(same) / F.greatest(F.size(F.map_entries(fields)), F.lit(1))
     want = letter(F.coalesce(_some(t["choice_gold"]), t["value"]))
     got = letter(F.coalesce(_some(F.try_element_at(said, F.lit("choice"))), F.try_element_at(said, F.lit("answer"))))
-    choice = F.coalesce((want == got).cast("double"), F.lit(0.0))
-    task = F.when(family == "numeric_mra", numeric).when(family == "multi_choice", several).otherwise(choice)
-    r = F.coalesce(response, F.lit(""))
+    task = F.when(family == "numeric_mra", numeric).when(family == "multi_choice", several).otherwise(F.coalesce((want == got).cast("double"), F.lit(0.0)))
     before = F.trim(F.regexp_replace(r, r"(?is)\bAnswer\s*:\s*.+\z", ""))
     reasoned = (F.trim(F.regexp_extract(r, COT, 1)) != "") | (r.rlike(NATIVE) & (before != ""))
-    text = answer_text(response)
-    parsed = json_map(text)
     in_json = F.when(family == "multi_choice", F.forall(F.map_keys(fields), lambda k: F.array_contains(F.map_keys(parsed), k))).when(family == "numeric_mra", number_of(parsed).isNotNull()).otherwise(letter(F.coalesce(_some(F.try_element_at(parsed, F.lit("choice"))), F.try_element_at(parsed, F.lit("answer")))).isNotNull())
     plain = F.when(family == "numeric_mra", text.rlike(rf"\A{NUMBER}\z")).otherwise(text.rlike(r"(?i)\A[A-E]\z"))
     shaped = F.when(text == "", False).when(parsed.isNotNull(), in_json).otherwise(plain)
-    cot, answer = reasoned.cast("double"), F.coalesce(shaped, F.lit(False)).cast("double")
-    overall = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - FORMAT_WEIGHT) * task + FORMAT_WEIGHT * cot * answer))
-    return F.struct(overall.alias("overall"), task.alias("task"), (cot * answer).alias("format"), cot.alias("cot_format"), answer.alias("answer_format"))
+    steps = steps.withColumn("__task", task).withColumn("__cot", reasoned.cast("double")).withColumn("__answer", F.coalesce(shaped, F.lit(False)).cast("double"))
+    overall = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - FORMAT_WEIGHT) * F.col("__task") + FORMAT_WEIGHT * F.col("__cot") * F.col("__answer")))
+    made = F.struct(overall.alias("overall"), F.col("__task").alias("task"), (F.col("__cot") * F.col("__answer")).alias("format"), F.col("__cot").alias("cot_format"), F.col("__answer").alias("answer_format"))
+    return steps.withColumn(out, made).select(*df.columns, out)
 
 
 def reward_target(metadata: Column, answer: Column) -> Column:

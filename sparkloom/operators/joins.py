@@ -47,11 +47,11 @@ def band_join(left: DataFrame, right: DataFrame, value_l: str, value_r: str, wid
 
 
 def band_count(df: DataFrame, value: str, key: str, width: float, out: str = "neighbours") -> DataFrame:
-    """Adds the number of other rows within ``width``, by a range frame: one sort, no pairs."""
-    w = Window.orderBy(value).rangeBetween(-width, width)
+    """Adds the number of other rows within ``width``: a range frame in each bucket and its neighbours, no pairs."""
     bucket = df.withColumn("__b", F.floor(F.col(value) / width))
     near = bucket.withColumn("__t", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)))
-    inside = near.withColumn("__n", F.count(F.lit(1)).over(w.partitionBy("__t"))).where("__t = __b")
+    frame = f"count(1) over (partition by __t order by `{value}` range between {width}D preceding and {width}D following)"
+    inside = near.withColumn("__n", F.expr(frame)).where("__t = __b")
     return inside.withColumn(out, F.col("__n") - 1).drop("__b", "__t", "__n")
 
 

@@ -64,7 +64,7 @@ def chunks(df: DataFrame, order: str, n: int) -> DataFrame:
 def collate(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
     """One row a batch, each column an array in order."""
     rows = df.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("r"))
-    return rows.select(batch, *(F.transform("r", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return rows.select(batch, *(F.col("r").getField(c).alias(c) for c in columns))
 
 
 def key_sets(a: DataFrame, b: DataFrame, key: str) -> dict[str, DataFrame]:

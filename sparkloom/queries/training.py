@@ -1 +1,121 @@
-"""Placeholder."""
+"""Training data: converters, packing, blocks, budgets, media parts and batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.functions.numeric import truncation_budget
+from sparkloom.functions.text import media_parts, trace_is_valid
+from sparkloom.operators import normalize, select, setops, training
+from sparkloom.queries import query, table
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'tool' ELSE role END AS role, text FROM conversations), f AS (SELECT *, CASE WHEN role <> 'tool' OR coalesce(lag(role) OVER w, '') <> 'tool' THEN 1 ELSE 0 END AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM f) SELECT conv_id, min(turn) AS at, min(role) AS role, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM g GROUP BY conv_id, g""")
+def tool_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").withColumn("role", F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")))
+    return training.merge_tool_turns(convs, "conv_id", "turn", "role", "text").select("conv_id", "at", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text FROM conversations), s AS (SELECT conv_id, max(text) FILTER (WHERE k = 1 AND role = 'system') AS sys FROM t GROUP BY 1),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE NOT (k = 1 AND role = 'system')),
+v AS (SELECT conv_id, max(n) AS n, max(n) % 2 = 0 AND bool_and(role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END) AS ok FROM r GROUP BY 1)
+SELECT s.conv_id, md5(coalesce(s.sys, '')) AS system, (CASE WHEN coalesce(v.ok, false) THEN v.n - 1 ELSE 0 END)::INTEGER AS n_prompt, (CASE WHEN coalesce(v.ok, false) THEN 1 ELSE 0 END)::INTEGER AS n_response, CASE WHEN NOT coalesce(v.ok, false) THEN 'broken_dialog' END AS reason FROM s LEFT JOIN v USING (conv_id)""")
+def sharegpt_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = training.from_sharegpt(normalize.collect_turns(table(spark, sf_dir, "conversations")))
+    return convs.select("conv_id", F.md5(F.col("system").cast("binary")).alias("system"), F.size("prompt").alias("n_prompt"), F.size("response").alias("n_response"), "reason")
+
+
+@query("""
+SELECT doc_id, 3 AS n_prompt, md5(CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || lang ELSE source END) AS query FROM documents""")
+def alpaca_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("input"), F.left("text", F.lit(20)).alias("output"), F.array(F.array(F.lit("q"), F.lit("a"))).alias("history"), F.lit("").alias("system"))
+    out = training.align(docs, "alpaca")
+    return out.select("doc_id", F.size("prompt").alias("n_prompt"), F.md5(F.element_at("prompt", -1)["content"].cast("binary")).alias("query"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS b FROM documents), x AS (SELECT doc_id, n_chars, b, unnest(range((b // 4096)::BIGINT, ((b + n_chars - 1) // 4096 + 1)::BIGINT)) AS block FROM d WHERE n_chars > 0)
+SELECT doc_id, block, (least((block + 1) * 4096, b + n_chars) - greatest(block * 4096, b))::BIGINT AS part_tokens FROM x""")
+def pretrain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = select.running_total(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars"), ["doc_id"])
+    return training.fixed_blocks(docs, "n_chars", "total_before", 4096).select("doc_id", "block", "part_tokens")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN t * 2 < 60 THEN t WHEN s * 2 < 60 THEN least(60 - s, t) ELSE least(floor(60 * (t / (s + t)::DOUBLE))::INTEGER, t) END::INTEGER AS target FROM (SELECT *, l_quantity::INTEGER AS t, (l_partkey % 70 + 1)::INTEGER AS s FROM lineitem)""")
+def truncation_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = truncation_budget((F.col("l_partkey") % 70 + 1).cast("int"), F.col("l_quantity").cast("int"), 60)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", b["target"].alias("target"))
+
+
+@query()
+def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    packed = training.pack(docs, "n_chars", "doc_id", 16_384, ["source"])
+    return packed.groupBy("source", "bin").agg(F.sum("n_chars").alias("used"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("k"), F.sequence(F.lit(1), F.least(F.col("l_quantity").cast("int"), F.lit(20))).alias("ids")).dropDuplicates(["l_orderkey", "k"]).withColumn("n", F.size("ids"))
+    packed = training.pack(items, "n", "k", 32, ["l_orderkey"]).where("bin is not null")
+    out = training.assemble_packed(packed, ["l_orderkey", "bin"], "k", "ids", 32)
+    return out.select("l_orderkey", "bin", F.size("input_ids").alias("n"), F.array_join("boundaries", ",").alias("boundaries"))
+
+
+@query()
+def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return training.micro_batches(docs, "n_chars", "doc_id", 40_000, ["source"]).groupBy("source", "partition").agg(F.sum("n_chars").alias("total"))
+
+
+@query("""
+SELECT p_partkey, string_agg(t, '|' ORDER BY i) AS parts FROM (SELECT p_partkey, 0 AS i, 'text:' || p_name AS t FROM part UNION ALL SELECT p_partkey, 1, 'video:' FROM part UNION ALL SELECT p_partkey, 2, 'text:' || p_brand FROM part) GROUP BY 1""")
+def media_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = F.concat("p_name", F.lit("<video>"), "p_brand")
+    parts = media_parts(prompt)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(parts, lambda x: F.concat(x["type"], F.lit(":"), F.coalesce(x["text"], F.lit("")))), "|").alias("parts"))
+
+
+@query("""
+SELECT p_partkey, p_size BETWEEN 25 AND 85 AND p_partkey % 5 <> 0 AS ok FROM part""")
+def trace_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of four paragraphs of p_size words; every fifth has a wrong span."""
+    body = F.repeat(F.lit(" word"), F.col("p_size"))
+    third = F.when(F.col("p_partkey") % 5 == 0, "[17-25]:").otherwise("[17-24]:")
+    text = F.concat(F.lit("[01-08]:"), body, F.lit("\n[09-16]:"), body, F.lit("\n"), third, body, F.lit("\n[25-32]:"), body)
+    return table(spark, sf_dir, "part").select("p_partkey", trace_is_valid(text).alias("ok"))
+
+
+@query("""
+WITH s AS (SELECT p_brand, p_name, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY sha1('1:' || p_name || '#' || p_partkey), p_name || '#' || p_partkey) AS r, p_name || '#' || p_partkey AS q FROM part)
+SELECT p_brand, string_agg(q || chr(10) || p_type, chr(10) || chr(10) ORDER BY r) AS shots FROM s WHERE r <= 3 GROUP BY 1""")
+def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_brand", F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("q"), "p_type")
+    return training.few_shot(part.select("p_brand").distinct(), part, "p_brand", 3, 1, "q", "p_type").select("p_brand", "shots")
+
+
+@query("""
+SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS priorities, count(*)::INTEGER AS n FROM orders GROUP BY 1""")
+def batch_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = setops.collate(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderpriority"])
+    return rows.select("o_custkey", F.array_join("o_orderpriority", ",").alias("priorities"), F.size("o_orderpriority").alias("n"))
+
+
+@query("""
+SELECT doc_id, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))::INTEGER AS words FROM documents WHERE trim(text) <> '' AND len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) > 800""")
+def overlong_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.functions.text import word_count
+
+    return training.overlong(table(spark, sf_dir, "documents"), "text", 800).select("doc_id", word_count(F.col("text")).alias("words"))
+
+
+@query("""
+SELECT p_partkey, md5('<|user|>' || p_name || '<|assistant|>' || p_brand || '<|end|>') AS digest FROM part""")
+def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = training.fill_template("<|user|>{{q}}<|assistant|>{{a}}<|end|>", q=F.col("p_name"), a=F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.md5(text.cast("binary")).alias("digest"))
