@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text hashed at a time; a longer document makes a longer step of its own.
@@ -28,6 +29,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a table is broadcast (16 MB or so); beyond, Spark's planner chooses.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a narrow table that is written already, marked for broadcast if counting it finds it small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _random_table(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**64 - 1, n, dtype=U64, endpoint=True)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, materialize, mix, row_steps, text_buffers, words_of
+from sparkloom.llm.common import U64, materialize, mix, row_steps, small, text_buffers, words_of
 from sparkloom.llm.components import connected_components
 
 WORDS = 5
@@ -297,18 +297,26 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     points = _points(docs, id_col, text_col, percent)
     full = points.where("n > 0 and id is not null")
-    firsts = full.groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    keys = full.join(firsts, ["hi", "lo", "id"], "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    firsts = full.groupBy("hi", "lo").agg(F.min("id").alias("first"))
+    copies = materialize(full.select("hi", "lo", "id").join(firsts, ["hi", "lo"]).where("id <> first").select("id", "hi", "lo"), "copies")
+    single = full.join(small(copies), ["id", "hi", "lo"], "left_anti")
+    keys = single.select("id", F.explode("keys").alias("key"))
+    sizes = single.select("id", "n")
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
     for _ in range(2):
         held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
         hits = materialize(keys.join(held, "key"), "hits")
-        enough = hits.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(F.col("c") >= least).select("id")
-        keys = hits.join(enough, "id", "left_semi").select("id", "n", "key")
+        counts = hits.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+        enough = materialize(counts.join(sizes, "id").groupBy("id").agg(F.max("c").alias("c"), F.min("n").alias("n")).where(F.col("c") >= least).select("id"), "enough")
+        keys = hits.join(small(enough), "id", "left_semi").select("id", "key")
     pivots = keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("top")).where("p < top").select("key", "p")
     stars = materialize(keys.join(pivots, "key").where("id <> p").select("p", "id").distinct(), "stars")
     counts = stars.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("tiles", F.ceil(F.col("m") / tile).cast("int"))
-    sets = materialize(_with_sets(docs, stars.select("id").union(stars.select("p")).distinct(), id_col, text_col).dropDuplicates(["id", "s"]), "sets")
+    asked = materialize(stars.select("id").union(stars.select("p")).distinct(), "asked")
+    found_sets = _with_sets(docs, small(asked), id_col, text_col)
+    if not full.groupBy("id").count().where("count > 1").isEmpty():  # several rows of one id
+        found_sets = found_sets.dropDuplicates(["id", "s"])
+    sets = materialize(found_sets, "sets")
     mine = stars.join(counts, "p").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pivot_rows = counts.select("p", F.col("p").alias("id"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     tiles = mine.select("p", "id", "tile").unionByName(pivot_rows).join(sets, "id")
