@@ -66,7 +66,7 @@ def append_new(path: str, key: str) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark._jsc.sparkContext().hadoopConfiguration()).exists(target):
+        if target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target):
             rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
         rows.write.mode("append").parquet(path)
 
