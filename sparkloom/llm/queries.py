@@ -96,10 +96,27 @@ FROM scored QUALIFY rank <= 20
 """
 
 
-def _spans_sql(alias: str, pattern: str) -> str:
-    """List of (start, end, value) of a pattern's matches: what lies before each is what splitting leaves."""
+def _spans_sql(kind: int, pattern: str) -> str:
+    """DuckDB list of a pattern's matches as (start, kind, end, value): lengths of the matches and of what splitting leaves."""
     p = "'" + pattern.replace("'", "''") + "'"
-    return f"""(SELECT list({{'s': s, 'e': s + length(m), 'v': m}} ORDER BY i) FROM (
-      SELECT i, m, sum(length(b)) OVER (ORDER BY i) + coalesce(sum(length(m)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-      FROM (SELECT unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(list_slice(bs, 1, len(ms))) AS b
-            FROM (SELECT regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS bs)))) AS {alias}"""
+    found, between = f"regexp_extract_all(t, {p})", f"string_split_regex(t, {p})"
+    before = f"(list_sum(list_transform(list_slice({between}, 1, i), lambda b: length(b))) + coalesce(list_sum(list_transform(list_slice({found}, 1, i - 1), lambda m: length(m))), 0))"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {{'start': {before}::BIGINT, 'kind': {kind}, 'end': ({before} + length({found}[i]))::BIGINT, 'value': {found}[i]}})"
+
+
+_ASSIGN = "'" + secrets.ASSIGN.replace("'", "''") + "'"
+_JOINED = "array_to_string(list_transform({0}, lambda x: ['assign','access','hex','bare'][x.kind + 1] || ':' || x.start || ':' || x.end), ',')"
+_VALUE = f"CASE WHEN x.kind = 0 THEN regexp_extract(x.value, {_ASSIGN}, 2) ELSE x.value END"
+
+ORACLE_SQL["op10_secrets"] = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, source, CASE WHEN regexp_matches(t, {_ASSIGN}) THEN {_spans_sql(0, secrets.ASSIGN)} ELSE [] END AS a, CASE WHEN contains(t, 'AKIA') THEN {_spans_sql(1, secrets.ACCESS)} ELSE [] END AS k,
+ CASE WHEN regexp_matches(t, '{secrets.HEX}') THEN {_spans_sql(2, secrets.HEX)} ELSE [] END AS h, CASE WHEN regexp_matches(t, '{secrets.BARE}') THEN {_spans_sql(3, secrets.BARE)} ELSE [] END AS r FROM d),
+b AS (SELECT doc_id, source, list_sort(list_concat(list_filter(a, lambda x: length(regexp_extract(x.value, {_ASSIGN}, 2)) >= 12), list_concat(list_filter(k, lambda x: length(x.value) >= 18), h))) AS base, r FROM m),
+c AS (SELECT doc_id, source, base, list_filter(r, lambda x: regexp_matches(x.value, '[a-z]') AND regexp_matches(x.value, '[A-Z]') AND regexp_matches(x.value, '[0-9]') AND len(list_filter(base, lambda y: y.start < x.end AND x.start < y.end)) = 0) AS bare FROM b),
+v AS (SELECT DISTINCT source, unnest(list_transform(list_concat(base, bare), lambda x: {_VALUE})) AS value FROM c),
+w AS (SELECT coalesce(list(value), []) AS copied FROM (SELECT value FROM v GROUP BY value HAVING count(DISTINCT source) >= {secrets.COPIED_FROM})),
+e AS (SELECT doc_id, base, list_sort(list_concat(base, list_filter(bare, lambda x: NOT list_contains(copied, {_VALUE})))) AS every, copied FROM c, w)
+SELECT doc_id, len(list_filter(base, lambda x: x.kind = 0)) AS n_assign, len(list_filter(base, lambda x: x.kind = 1)) AS n_access, len(list_filter(base, lambda x: x.kind = 2)) AS n_hex,
+ sha256({_JOINED.format("base")}) AS base_sha256, {_JOINED.format("every")} AS spans, len(list_filter(every, lambda x: NOT list_contains(copied, {_VALUE}))) AS n_live, len(list_filter(every, lambda x: list_contains(copied, {_VALUE}))) AS n_copied FROM e
+"""
