@@ -33,6 +33,20 @@ MEMO_PIECES = 700_000
 SINGLE_SPACE_PATTERNS = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 
 
+# Code points that the regex module counts as letters or numbers and the tables of the
+# tiktoken library (Unicode 16) don't yet.
+LATER_LETTERS = "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _as_library(pattern: str) -> str:
+    """The pattern with letters and numbers as the tiktoken library has them."""
+    for name, later in ((r"\p{L}", LATER_LETTERS), (r"\p{N}", LATER_NUMBERS)):
+        ranges = "".join("-".join(f"\\U{int(c, 16):08X}" for c in r.split("-")) for r in later.split())
+        pattern = pattern.replace(name, f"[{name}--[{ranges}]]")
+    return "(?V1)" + pattern
+
+
 class BpeVocabulary:
     """Ranks of a byte-level vocabulary and what follows from them."""
 
@@ -200,7 +214,7 @@ class TextEncoder:
 
     def __init__(self, vocabulary: BpeVocabulary, pattern: str, words_at_spaces: bool = False):
         self.v = vocabulary
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(_as_library(pattern))
         self.by_words = words_at_spaces
         self.pieces = _Memo(self._piece)
         self.words = _Memo(self._word)
