@@ -25,8 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose encodings a worker remembers before it starts anew.
-MEMO_PIECES = 700_000
+#: Distinct words, pieces, and pairs of tokens that a worker remembers before it starts anew.
+MEMO_PIECES = 250_000
+MEMO_PAIRS = 500_000
 
 # Fixed value: the public splitting pattern of byte-level BPE. None of its matches holds a space
 # after its first character, runs of white space aside.
@@ -108,7 +109,7 @@ class BpeVocabulary:
         """
         found = self._apart.get(left << 32 | right)
         if found is None:
-            if len(self._apart) > 4_000_000:
+            if len(self._apart) >= MEMO_PAIRS:
                 self._apart.clear()
             get, seen = self.ranks.get, self._edge(right, 0)
             found = self._apart[left << 32 | right] = not any((rank := get(a + b)) is not None and rank < ends_a and rank <= ends_b for a, ends_a in self._edge(left, 1) for b, ends_b in seen)
