@@ -154,6 +154,30 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_that_recur_within_a_document(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, line, run = words(60), words(10), ["la"]
+    texts = [words(20) + passage + words(30), words(40) + passage + words(70) + passage + words(15) + passage + words(9)]
+    texts += [words(30) + line * 12 + words(20), words(55) + line * 30 + words(20)]
+    texts += [words(10) + run * 100 + words(20), words(40) + run * 3000 + words(10), words(25) + run * 80 + words(60) + run * 90]
+    rows = substrings.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    found = {i: sorted((r["first_word"], r["last_word"]) for r in rows if r["doc_id"] == i) for i in range(len(texts))}
+    assert found == {0: [(20, 79)], 1: [(40, 99), (170, 229), (245, 304)], 2: [(30, 149)], 3: [(55, 354)], 4: [(10, 109)], 5: [(40, 3039)], 6: [(25, 104), (165, 254)]}
+
+
+def test_nearest_occurrence():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        part, other = rng.integers(0, 9, 20), rng.integers(0, 6, 30)
+        expected = rng.integers(-15, 50, 20)
+        place, known = substrings.nearest(part, other, expected)
+        for value, want, at, is_there in zip(part, expected, place, known, strict=True):
+            places = np.flatnonzero(other == value)
+            assert is_there == bool(len(places))
+            assert not is_there or (other[at] == value and abs(at - want) == np.abs(places - want).min())
+
+
 def test_token_counts_splice_exactly():
     counter = token_counts.piece_counter(public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(7)
