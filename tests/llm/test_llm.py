@@ -166,6 +166,23 @@ def test_passages_that_recur_within_a_document(spark):
     assert found == {0: [(20, 79)], 1: [(40, 99), (170, 229), (245, 304)], 2: [(30, 149)], 3: [(55, 354)], 4: [(10, 109)], 5: [(40, 3039)], 6: [(25, 104), (165, 254)]}
 
 
+def test_passages_whose_keys_other_documents_lead(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(25):
+        p, q = words(52), words(60)
+        # the first document holds too little of p, and q as the second does
+        texts += [words(30) + p[4:44] + words(30) + q, q + words(30) + p + words(20), words(70) + p + words(30)]
+        want |= {(len(texts) - 2, 90, 141), (len(texts) - 1, 70, 121)}
+        # three loose variants before two equal ones
+        p = words(52)
+        texts += [words(30) + p[6 + i : 44 + i] + words(40) for i in range(3)] + [words(25) + p + words(50), words(60) + p + words(20)]
+        want |= {(len(texts) - 2, 25, 76), (len(texts) - 1, 60, 111)}
+    rows = substrings.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert want <= {(r["doc_id"], r["first_word"], r["last_word"]) for r in rows}
+
+
 def test_nearest_occurrence():
     rng = np.random.default_rng(3)
     for _ in range(50):
