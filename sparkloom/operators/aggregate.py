@@ -122,12 +122,16 @@ def similarity(df: DataFrame, predicted: str, reference: str) -> DataFrame:
         return 200.0 * hit / (a + b) if a + b else 0.0
 
     def common_length(a: list[str], b: list[str]) -> int:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b, 1):
-                row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
-        return row[-1]
+        # bit-parallel: a zero of ``open_`` is a word of a at which the common subsequence grows
+        where: dict[str, int] = {}
+        for i, x in enumerate(a):
+            where[x] = where.get(x, 0) | 1 << i
+        every = (1 << len(a)) - 1
+        open_ = every
+        for y in b:
+            u = open_ & where.get(y, 0)
+            open_ = (open_ + u | open_ - u) & every
+        return len(a) - open_.bit_count()
 
     def one(p: str, r: str) -> tuple:
         a, b = (p or "").split(), (r or "").split()

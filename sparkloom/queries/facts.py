@@ -91,7 +91,7 @@ def kk_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.left("text", F.lit(300)).alias("p"), F.substring("text", 50, 300).alias("r"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("p"), F.expr("substring(text, 50)").alias("r"))
     out = aggregate.similarity(docs, "p", "r")
     return out.select("doc_id", *(F.round(c, 4).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l", "bleu_4")))
 

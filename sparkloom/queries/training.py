@@ -61,9 +61,17 @@ def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("k"), F.sequence(F.lit(1), F.least(F.col("l_quantity").cast("int"), F.lit(20))).alias("ids")).dropDuplicates(["l_orderkey", "k"]).withColumn("n", F.size("ids"))
-    packed = training.pack(items, "n", "k", 32, ["l_orderkey"]).where("bin is not null")
-    out = training.assemble_packed(packed, ["l_orderkey", "bin"], "k", "ids", 32)
+    from pyspark.sql import Window
+
+    cutoff = 32
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("line"), F.sequence(F.lit(1), F.col("l_quantity").cast("int")).alias("ids"))
+    # what is longer than the cutoff is laid in pieces, so that no token is left out
+    starts = F.sequence(F.lit(1), F.size("ids"), F.lit(cutoff))
+    pieces = lines.select("l_orderkey", "line", F.posexplode(F.transform(starts, lambda i: F.slice("ids", i, F.lit(cutoff)))).alias("piece", "ids"))
+    items = pieces.select("l_orderkey", (F.col("line") * 1000 + F.col("piece")).alias("k"), "ids", F.size("ids").alias("n"))
+    packed = training.pack(items, "n", "k", cutoff, ["l_orderkey"])
+    out = training.assemble_packed(packed, ["l_orderkey", "bin"], "k", "ids", cutoff)
     return out.select("l_orderkey", "bin", F.size("input_ids").alias("n"), F.array_join("boundaries", ",").alias("boundaries"))
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import random
 import zipfile
 
@@ -220,3 +221,32 @@ def test_tool_calls_and_masks(spark):
     assert [tuple(c) for c in calls] == [("look", '{"x": 1}'), ("go", "{}")]
     mask = one(spark, rollouts.reasoning_mask(F.array(*map(F.lit, [5, 1, 7, 8, 2, 9])), F.lit(1), F.lit(2)))
     assert mask == [0, 0, 1, 1, 0, 0]
+
+
+def test_packed_sequences_hold_every_line(spark):
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
+    rows = __spark_entry__.queries()["packed_sequences"](spark, sf).collect()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum(F.col("l_quantity").cast("int")).alias("tokens"), F.count_distinct("l_orderkey").alias("orders")).first()
+    ends = [[int(x) for x in r["boundaries"].split(",")] for r in rows]
+    assert sum(e[-1] for e in ends) == lines["tokens"] and max(e[-1] for e in ends) <= 32
+    assert len({r["l_orderkey"] for r in rows}) == lines["orders"]
+
+
+def test_text_similarity_reads_whole_texts(spark, tmp_path):
+    import __spark_entry__
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n)) for n in (5, 60, 300, 700)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in __spark_entry__.queries()["text_similarity"](spark, str(tmp_path)).collect():
+        a, b = texts[r["doc_id"]].split(), texts[r["doc_id"]][49:].split()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        assert r["rouge_l"] == (round(200 * row[-1] / (len(a) + len(b)), 4) if b else 0.0)
