@@ -3,7 +3,9 @@
 Words that occur once in the text and once in the template are anchors; the
 longest increasing run of anchors is kept, and the gaps between them are
 aligned in the same way. Coverage is the share of the template's words that are
-aligned within a stretch of the text about as long as the template.
+aligned within a stretch of the text about as long as the template. Gaps without
+anchors stay unaligned; where that leaves too little, the stretch with the
+longest common subsequence is taken instead.
 """
 
 from __future__ import annotations
@@ -87,6 +89,37 @@ def patience_align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_common(a: list[int], b: list[int], width: int, at: list[int], least: int) -> tuple[int, int, int]:
+    """Length of the longest common subsequence with ``b`` of any stretch of ``a`` whose places ``at`` span at most ``width``, if ``least`` or more (else 0), and its shortest such stretch's first and last index.
+
+    Bit-parallel: a zero of ``open_`` is a word of ``b`` at which the subsequence grows.
+    """
+    bits: dict[int, int] = {}
+    for j, w in enumerate(b):
+        bits[w] = bits.get(w, 0) | 1 << j
+    full, quota = (1 << len(b)) - 1, {w: x.bit_count() for w, x in bits.items()}
+    best, held, end = (0, 0, 0), dict.fromkeys(bits, 0), 0
+    bound = 0  # words of the stretch that the template holds too, each as often as it does
+    for start in range(len(a)):
+        while end < len(a) and at[end] - at[start] <= width:
+            bound += held[a[end]] < quota[a[end]]
+            held[a[end]] += 1
+            end += 1
+        if bound >= max(least, best[0]):
+            open_, length, last = full, 0, start
+            for i in range(start, end):
+                u = open_ & bits[a[i]]
+                open_ = (open_ + u | open_ - u) & full
+                grown = len(b) - open_.bit_count()
+                if grown > length:
+                    length, last = grown, i
+            if length >= least and (length, start - last) > (best[0], best[1] - best[2]):
+                best = (length, start, last)
+        held[a[start]] -= 1
+        bound -= held[a[start]] < quota[a[start]]
+    return best
+
+
 class LicenseMatcher:
     def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         self.names, self.least = list(templates), least
@@ -133,7 +166,10 @@ class LicenseMatcher:
                 share = (ends[first] - first) / len(template)
                 if share > best[0]:
                     best = (float(share), int(places[first]), int(places[ends[first] - 1]))
-        return best
+        if best[0] >= self.least - 1e-9:
+            return best
+        length, first, last = longest_common(seq.tolist(), template.tolist(), spread, at.tolist(), self.needed[k])
+        return (length / len(template), int(at[first]), int(at[last])) if length else best
 
     def match(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[str, float, int, int]]]:
         """For each row the licenses found: (name, coverage, first byte, past the last byte)."""

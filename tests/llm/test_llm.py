@@ -221,6 +221,34 @@ def test_licenses(spark):
     assert [rows[i]["n_licenses"] for i in (2, 4, 5, 6)] == [0, 0, 0, 0]
 
 
+def test_licenses_that_stand_twice_in_a_row(spark):
+    line, mit = licenses.TEMPLATES["mit-line"], licenses.TEMPLATES["mit"]
+    around = "The code is under the terms of the owner. {} See the file for any part of the permission."
+    texts = ["The code is under the terms. Released under the MIT License. Released under the MIT License. See the file.", around.format(f"{line} {line} {line}"), around.format(f"{mit} {mit}")]
+    rows = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for i, (name, notice) in enumerate((("mit-line", line), ("mit-line", line), ("mit", mit))):
+        found = next(x for x in rows[i] if x["name"] == name)
+        assert found["coverage"] == 1.0 and texts[i][found["start"] : found["end"]] + "." == notice
+
+
+def test_longest_common_agrees_with_a_plain_one():
+    rng = random.Random(9)
+    for _ in range(200):
+        b = [rng.randrange(5) for _ in range(rng.randrange(1, 9))]
+        a, at, width = [rng.choice(b) for _ in range(rng.randrange(1, 16))], [], rng.randrange(1, 12)
+        for _ in a:
+            at.append((at[-1] if at else 0) + rng.randrange(1, 3))
+        want = 0
+        for i in range(len(a)):
+            row = [0] * (len(b) + 1)
+            for x in (w for w, p in zip(a[i:], at[i:], strict=True) if p - at[i] <= width):
+                last = 0
+                for j, y in enumerate(b, 1):
+                    row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+            want = max(want, row[-1])
+        assert licenses.longest_common(a, b, width, at, 1)[0] == want
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(8)
     for _ in range(200):
