@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,13 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 #: Bytes of text hashed at a time; a longer document makes a longer step of its own.
 STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own, in local mode (tests) only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or "/tmp/checkpoints"
 
 
@@ -29,6 +37,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing unwritten depends on any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 #: Rows of a few numbers up to which a table is broadcast (16 MB or so); beyond, Spark's planner chooses.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,30 +55,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _random_table(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**64 - 1, n, dtype=U64, endpoint=True)
-
-
-_PRIME = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_BYTE = _random_table(11, 256)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+#: A-Z as a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of more bytes are hashed by a keyed digest, shorter ones eight bytes at a time.
+LONG_WORD = 64
+_KEY = b"words of a corpus"
+_SEED = U64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 #: What parts words ``[^\\x20\\x09-\\x0D]+``, and words of letters and digits (bytes from 128 on are letters).
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 NOT_ALNUM = ~np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        size = max(n, STEP_BYTES + 1)
-        for key, base in (("p", _PRIME), ("i", _INVERSE)):
-            table = np.full(size, base, U64)
-            table[0] = 1
-            _powers[key] = np.cumprod(table, dtype=U64)
-    return _powers["p"][:n], _powers["i"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,8 +103,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -
 
     Returns the words' 64-bit hashes (A-Z as a-z), their first and
     past-the-end bytes in ``data[offsets[0]:]``, and n+1 offsets of rows into
-    the words.  A polynomial hash over random byte values, by prefix sums: the
-    work is a few vector operations on the whole range.
+    the words.  A hash takes in eight bytes at a time through a bijective
+    mixer, so that words of up to eight bytes have equal hashes only if they
+    are equal but for chances of 2**-64; long words have a digest's.
     """
     buf = data[offsets[0] : offsets[-1]]
     cuts = (offsets - offsets[0]).astype(np.int64)
@@ -114,7 +120,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -
     stops = word.copy()
     stops[:-1] &= ~word[1:] | border[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_LOWER[buf] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts]), starts, ends, np.searchsorted(starts, cuts)
+    lower = np.zeros(n + 8, np.uint8)
+    np.take(_LOWER, buf, out=lower[:n])
+    eight = np.ndarray((n + 1,), "<u8", lower, strides=(1,))
+    size = ends - starts
+    hashes = mix((eight[starts] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(U64) * _SEED))
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at = 8
+    while len(more):
+        hashes[more] = mix(hashes[more] ^ (eight[starts[more] + at] & _FIRST_BYTES[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(lower[starts[i] : ends[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+    return hashes, starts, ends, np.searchsorted(starts, cuts)
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)

@@ -183,16 +183,68 @@ def test_passages_whose_keys_other_documents_lead(spark):
     assert want <= {(r["doc_id"], r["first_word"], r["last_word"]) for r in rows}
 
 
-def test_nearest_occurrence():
-    rng = np.random.default_rng(3)
-    for _ in range(50):
-        part, other = rng.integers(0, 9, 20), rng.integers(0, 6, 30)
-        expected = rng.integers(-15, 50, 20)
-        place, known = substrings.nearest(part, other, expected)
-        for value, want, at, is_there in zip(part, expected, place, known, strict=True):
-            places = np.flatnonzero(other == value)
-            assert is_there == bool(len(places))
-            assert not is_there or (other[at] == value and abs(at - want) == np.abs(places - want).min())
+def stretches_elsewhere(texts, least=50):
+    """For each text the words that lie in a stretch of ``least`` words which another text holds word for word."""
+    held = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - least + 1):
+            held.setdefault(tuple(t[j : j + least]), set()).add(i)
+    out = []
+    for i, t in enumerate(texts):
+        inside = set()
+        for j in range(len(t) - least + 1):
+            if held[tuple(t[j : j + least])] - {i}:
+                inside.update(range(j, j + least))
+        out.append(inside)
+    return out
+
+
+@pytest.mark.parametrize("group", [4, 512])
+def test_every_exact_repeat_is_found(spark, group):
+    rng = random.Random(21)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [words(rng.randrange(50, 130)) for _ in range(12)]
+    texts = []
+    for _ in range(70):
+        t = words(rng.randrange(0, 40))
+        for _ in range(rng.randrange(0, 4)):
+            p = rng.choice(passages)
+            cut = rng.randrange(0, 30)
+            t += p[cut : cut + rng.randrange(50, 130)] + words(rng.randrange(0, 60))
+        texts.append(t)
+    texts += [words(100), texts[3], texts[3]]
+    clean = len(texts) - 3
+    rows = substrings.repeated_passages(docs(spark, [" ".join(t) for t in texts]), group=group).collect()
+    assert all(r["partner"] != r["doc_id"] and 0 <= r["first_word"] <= r["last_word"] < len(texts[r["doc_id"]]) for r in rows)
+    for i, want in enumerate(stretches_elsewhere(texts)):
+        found = {w for r in rows if r["doc_id"] == i for w in range(r["first_word"], r["last_word"] + 1)}
+        assert want <= found, i
+        assert want or not found, i
+    assert clean not in {r["doc_id"] for r in rows}
+
+
+@pytest.mark.parametrize("group", [8, 512])
+def test_nearly_equal_passages_are_found(spark, group):
+    rng = random.Random(22)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts, passages = [], [words(80) for _ in range(10)]
+    for i in range(60):
+        p = list(passages[i % 10])
+        p[rng.randrange(20, 60)] = f"v{i}"
+        texts.append(words(30) + p + words(30))
+    texts += [words(200) for _ in range(20)]
+    rows = substrings.repeated_passages(docs(spark, [" ".join(t) for t in texts]), group=group).collect()
+    assert len({r["doc_id"] for r in rows if r["doc_id"] < 60}) >= 58 and all(r["doc_id"] < 60 for r in rows)
+
+
+def test_passages_awkward_rows(spark):
+    df = awkward(spark)
+    rows = substrings.repeated_passages(df).collect()
+    assert all(r["partner"] != r["doc_id"] for r in rows)
+    none = docs(spark, []).withColumns({"id": F.lit(1), "key": F.lit(1), "at": F.lit(1), "partner": F.lit(1)})
+    assert substrings.repeated_passages(none).count() == 0
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert [(r["doc_id"], r["first_word"], r["last_word"], r["partner"]) for r in substrings.repeated_passages(docs(spark, ["x " + long, "y z " + long])).orderBy("doc_id").collect()] == [(0, 1, 200_000, 1), (1, 2, 200_001, 0)]
 
 
 def test_token_counts_splice_exactly():
