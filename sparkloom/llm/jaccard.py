@@ -23,6 +23,7 @@ making large blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, materialize, mix, row_steps, small, text_buffers, words_of
+from sparkloom.llm.common import U64, discard, materialize, mix, release, row_steps, small, text_buffers, words_of
 from sparkloom.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
 #: Points of a tile of a region.
 TILE = 1024
-#: Points that are compared pair by pair.
+#: Points that are compared pair by pair; pivots of a set of points, and the largest distance at which a point is of a pivot's cell;
+#: what the squares of the parts' sizes may add up to, at most, of the whole's.
 LEAF = 24
+PIVOTS = 8
+FAR = 0.6
+WORTH = 0.8
 #: One document in so many is looked at for common shingles, and the most that are kept.
 SAMPLE = 16
 COMMON_AT_MOST = 4_000_000
@@ -93,6 +98,8 @@ class Region:
         self.percent = percent
         self.parent = list(range(len(sets)))
         self.links: list[tuple[int, int]] = []
+        #: How often points were parted by size and into cells, and the pairs of points that leaves compared.
+        self.counts = {"halves": 0, "cells": 0, "pairs": 0}
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -128,21 +135,39 @@ class Region:
         while stack:
             points, home = stack.pop()
             if len(points) > LEAF:
-                cells = self._cells(points, reach)
-                if cells is not None:
-                    near, far = cells
-                    nearest = far.argmin(0)
-                    for c in range(len(near)):
-                        inside = far[c] <= far.min(0) + 2 * reach
-                        if inside.any():
-                            stack.append((points[inside], home[inside] & (nearest[inside] == c)))
+                parts = self._halves(points, home) or self._cells(points, home, reach)
+                if parts:
+                    stack += parts
                     continue
             self._leaf(points, home)
 
-    def _cells(self, points: np.ndarray, reach: float) -> tuple[list[int], np.ndarray] | None:
-        """Pivots and their distances to the points; None if windows would hold almost all points."""
+    def _halves(self, points: np.ndarray, home: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The points parted at a size, each half with those of the other that are near enough in size to link; none if that leaves almost all."""
+        sizes = self.sizes[points]
+        cut = int(np.median(sizes[home])) if home.any() else 0
+        small = sizes <= cut
+        parts = []
+        for mine in (small, ~small):
+            if (mine & home).any():
+                low, high = sizes[mine & home].min(), sizes[mine & home].max()
+                inside = (100 * sizes >= self.percent * low) & (self.percent * sizes <= 100 * high)
+                parts.append((points[inside], (home & mine)[inside]))
+        if not parts or sum(len(x) ** 2 for x, _ in parts) > WORTH * len(points) ** 2:
+            return []
+        self.counts["halves"] += 1
+        return parts
+
+    def _cells(self, points: np.ndarray, home: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Voronoi cells of a few pivots, each with the points in its window; none if windows would hold almost all points.
+
+        A point may link with one of a cell if it is at most 2 ``reach`` farther
+        from the cell's pivot than from its own, and at most ``reach`` beyond the
+        cell's radius. Points farther than FAR from every pivot make up a cell
+        without a pivot; what is nearer than that by more than ``reach`` doesn't
+        link with them.
+        """
         far, pivots = [], [0]
-        for _ in range(4):
+        for _ in range(PIVOTS):
             row, linked = self.distances(int(points[pivots[-1]]), points)
             for y in points[linked]:
                 self.link(int(points[pivots[-1]]), int(y))
@@ -151,8 +176,20 @@ class Region:
             if np.min(far, 0)[pivots[-1]] <= reach:
                 break
         every = np.array(far)
-        inside = every <= every.min(0) + 2 * reach
-        return (pivots[: len(far)], every) if len(far) > 1 and inside.sum(1).max() <= 0.8 * len(points) and inside.sum() <= 1.25 * len(points) else None
+        nearest, least = every.argmin(0), every.min(0)
+        parts = []
+        for c, row in enumerate(every):
+            mine = home & (nearest == c) & (least <= FAR)
+            if mine.any():
+                inside = (row <= least + 2 * reach) & (row <= row[mine].max() + reach)
+                parts.append((points[inside], mine[inside]))
+        if (home & (least > FAR)).any():
+            inside = least > FAR - reach
+            parts.append((points[inside], (home & (least > FAR))[inside]))
+        if len(far) < 2 or not parts or sum(len(x) ** 2 for x, _ in parts) > WORTH * len(points) ** 2:
+            return []
+        self.counts["cells"] += len(parts)
+        return parts
 
     def _leaf(self, points: np.ndarray, home: np.ndarray) -> None:
         for i in range(len(points) - 1):
@@ -162,6 +199,7 @@ class Region:
             size = self.sizes[rest]
             open_ &= (100 * np.minimum(size, self.sizes[x]) >= self.percent * np.maximum(size, self.sizes[x]))
             rest = rest[open_]
+            self.counts["pairs"] += len(rest)
             if len(rest):
                 for y in rest[self.distances(x, rest)[1]]:
                     self.link(x, int(y))
@@ -175,6 +213,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             found = [s for s in shingle_sets(batch.column(0)) if len(s)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
+        release()
 
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(SAMPLE)) == 0).select(F.col(text_col).cast("string").alias("text"))
     counts = sample.mapInArrow(run, "s long").groupBy("s").count().where("count > 1")
@@ -201,6 +240,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
                     s = np.concatenate([s[~common_here], s[common_here]])
                 keys.append(s[: n[-1] - needed(n[-1], percent) + spare(n[-1])].view(np.int64) if n[-1] else s.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "hi", "lo", "n", "keys"])
+        release()
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return materialize(read.mapInArrow(run, "id long, hi long, lo long, n long, keys array<bigint>"), "points")
@@ -213,6 +253,7 @@ def _with_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> D
         for batch in batches:
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+        release()
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return read.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<bigint>")
@@ -241,7 +282,7 @@ def _read_group(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _join_tiles(tiles: DataFrame, percent: int) -> DataFrame:
-    """From rows (p, tile, id, s, the pivot among them) to links (a, b) and distances to the pivot (d at b, a the pivot)."""
+    """From rows (p, tile, id, s, the pivot among them) to links (a, b) and distances to the pivot and sizes (d and n at b, a the pivot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
@@ -256,19 +297,20 @@ def _join_tiles(tiles: DataFrame, percent: int) -> DataFrame:
             region.join(every, np.ones(len(ids), bool))
             a, b = (ids[[x[i] for x in region.links]] if region.links else np.zeros(0, np.int64) for i in (0, 1))
             core = np.array([region.root(int(x)) == region.root(first) for x in every])
-            rows = [np.concatenate([a, np.full(len(ids), pivot)]), np.concatenate([b, ids]), np.concatenate([np.full(len(a), np.nan), far]), np.concatenate([np.ones(len(a), bool), core])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True) for x in rows], ["a", "b", "d", "core"])
+            rows = [np.concatenate([a, np.full(len(ids), pivot)]), np.concatenate([b, ids]), np.concatenate([np.full(len(a), np.nan), far]), np.concatenate([np.zeros(len(a), np.int64), region.sizes]), np.concatenate([np.ones(len(a), bool), core])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True) for x in rows], ["a", "b", "d", "n", "core"])
+        release()
 
     placed = tiles.repartition("p", "tile").sortWithinPartitions("p", "tile")
-    return placed.select("p", "tile", "id", "s").mapInArrow(run, "a long, b long, d double, core boolean")
+    return placed.select("p", "tile", "id", "s").mapInArrow(run, "a long, b long, d double, n long, core boolean")
 
 
 def _join_outliers(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (p, chunk, tile, id, s, d, core, asked): outliers of a chunk with what is in a tile."""
+    """Links (a, b) from rows (p, cell, chunk, tile, id, s, d, core, asked): outliers of a chunk of a cell with what is in a tile."""
     reach = 1 - percent / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in _groups(batches, 4):
             ids, sets = _read_group(group)
             far, asked = group.column("d").to_numpy(), group.column("asked").to_numpy(zero_copy_only=False)
             region = Region(sets, percent)
@@ -284,33 +326,37 @@ def _join_outliers(members: DataFrame, percent: int) -> DataFrame:
                             region.link(int(x), int(y))
             if region.links:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[[x[i] for x in region.links]]) for i in (0, 1)], ["a", "b"])
+        release()
 
-    placed = members.repartition("p", "chunk", "tile").sortWithinPartitions("p", "chunk", "tile")
-    return placed.select("p", "chunk", "tile", "id", "s", "d", "core", "asked").mapInArrow(run, "a long, b long")
+    placed = members.repartition("p", "cell", "chunk", "tile").sortWithinPartitions("p", "cell", "chunk", "tile")
+    return placed.select("p", "cell", "chunk", "tile", "id", "s", "d", "core", "asked").mapInArrow(run, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(points, components): points has id, hi, lo, n for each row; components has node, component.
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, copies, components): points has id, hi, lo, n for each row, copies the smallest id of each set (hi, lo) that several ids have.
 
-    A node is the smallest id of a set (of equal hi, lo); components has those
+    A node is the smallest id of a set; components (node, component) has those
     that link with another set.
     """
     points = _points(docs, id_col, text_col, percent)
     full = points.where("n > 0 and id is not null")
-    firsts = full.groupBy("hi", "lo").agg(F.min("id").alias("first"))
-    copies = materialize(full.select("hi", "lo", "id").join(firsts, ["hi", "lo"]).where("id <> first").select("id", "hi", "lo"), "copies")
-    single = full.join(small(copies), ["id", "hi", "lo"], "left_anti")
+    firsts = full.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("top")).where("first < top")
+    copies = materialize(firsts.select("hi", "lo", "first"), "copies")
+    single = full.join(small(copies), ["hi", "lo"], "left").where("first is null or first = id")
     keys = single.select("id", F.explode("keys").alias("key"))
     sizes = single.select("id", "n")
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
+    written = []
     for _ in range(2):
         held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
         hits = materialize(keys.join(held, "key"), "hits")
         counts = hits.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
         enough = materialize(counts.join(sizes, "id").groupBy("id").agg(F.max("c").alias("c"), F.min("n").alias("n")).where(F.col("c") >= least).select("id"), "enough")
         keys = hits.join(small(enough), "id", "left_semi").select("id", "key")
+        written += [hits, enough]
     pivots = keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("top")).where("p < top").select("key", "p")
     stars = materialize(keys.join(pivots, "key").where("id <> p").select("p", "id").distinct(), "stars")
+    discard(*written)
     counts = stars.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("tiles", F.ceil(F.col("m") / tile).cast("int"))
     asked = materialize(stars.select("id").union(stars.select("p")).distinct(), "asked")
     found_sets = _with_sets(docs, small(asked), id_col, text_col)
@@ -321,20 +367,27 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     pivot_rows = counts.select("p", F.col("p").alias("id"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     tiles = mine.select("p", "id", "tile").unionByName(pivot_rows).join(sets, "id")
     found = materialize(_join_tiles(tiles, percent), "tiles")
-    # outliers of regions of several tiles against everything of other tiles that may link with them
-    wide = counts.where("tiles > 1")
-    rest = found.where("d is not null and a <> b").select(F.col("a").alias("p"), F.col("b").alias("id"), "d", "core").join(wide, "p")
-    rest = rest.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.col("chunks"))).cast("int")
-    outliers = rest.where("not core")
+    # outliers of regions of several tiles against what may link with them: neighbours by size and by distance to the pivot
     reach = 1 - percent / 100 + 1e-9
-    chunks = outliers.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks"), F.min("d").alias("nearest"), F.max("d").alias("farthest"))
-    asked = outliers.join(chunks, "p").select("p", "id", "d", "core", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("asked"))
-    windows = rest.join(chunks, "p").where(F.col("d").between(F.col("nearest") - reach, F.col("farthest") + reach))
-    others = windows.select("p", "id", "d", "core", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "tile", F.lit(False).alias("asked"))
-    late = _join_outliers(asked.unionByName(others).join(sets, "id"), percent)
-    links = found.where("d is null").select("a", "b").union(late)
-    return points, connected_components(links)
+    by_size, by_far = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int"), F.floor(F.col("d") / reach).cast("int")
+    rest = found.where("d is not null and a <> b").select(F.col("a").alias("p"), F.col("b").alias("id"), "d", "core", by_size.alias("by_size"), by_far.alias("by_far")).join(counts.where("tiles > 1").select("p"), "p")
+    cell = lambda x, y: (x * 16 + y).cast("int").alias("cell")
+    outliers = rest.where("not core").withColumn("cell", cell(F.col("by_size"), F.col("by_far")))
+    chunks = materialize(outliers.groupBy("p", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks")), "cells")
+    if not chunks.isEmpty():
+        step = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        near = rest.withColumn("x", F.explode(step)).select("p", "id", "d", "core", cell(F.col("by_size") + F.col("x.i"), F.col("by_far") + F.col("x.j"))).join(chunks, ["p", "cell"])
+        tiles_of = materialize(near.groupBy("p", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "cells")
+        chunk, place = F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("int"), F.pmod(F.xxhash64("id"), "tiles").cast("int")
+        asked_rows = outliers.join(chunks, ["p", "cell"]).join(tiles_of, ["p", "cell"]).select("p", "cell", "id", "d", "core", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("asked"))
+        others = near.join(tiles_of, ["p", "cell"]).select("p", "cell", "id", "d", "core", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), place.alias("tile"), F.lit(False).alias("asked"))
+        late = _join_outliers(asked_rows.unionByName(others).join(sets, "id"), percent)
+        links = found.where("d is null").select("a", "b").union(late)
+    else:
+        links = found.where("d is null").select("a", "b")
+    components = connected_components(links)
+    discard(stars, asked, sets, found, chunks)
+    return points, copies, components
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -348,12 +401,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links with one of them links with the id. A row without an id gets a null
     component. Other columns aren't read; an empty table gives an empty one.
     """
-    points, components = jaccard_links(docs, id_col=id_col, text_col=text_col, percent=percent, tile=tile)
-    nodes = points.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"))
-    named = nodes.join(components, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    joined = points.where("n > 0 and id is not null").select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
+    points, copies, components = jaccard_links(docs, id_col=id_col, text_col=text_col, percent=percent, tile=tile)
+    full = points.where("n > 0 and id is not null").select("id", "n", "hi", "lo")
+    noded = full.join(small(copies), ["hi", "lo"], "left").select("id", "n", F.coalesce("first", "id").alias("node"))
+    joined = noded.join(small(components), "node", "left").select("id", "n", F.coalesce("component", "node").alias("component"))
     alone = points.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return joined.select("id", "n", "component").union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return joined.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -362,5 +415,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows that share an id stay or go together; rows without an id stay.
     """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, percent=percent)
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "copies")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(id_col)).distinct(), "copies")
+    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)

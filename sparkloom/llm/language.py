@@ -18,15 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import row_steps, text_buffers
+from sparkloom.llm.common import release, row_steps, text_buffers
 
 SEGMENT = 128
 HIDDEN = 8
-#: Bound of the training sample: rows of a language, and segments of a row.
+#: Bound of the training sample: rows of a language, rows in all (of many languages each gets fewer), and segments of a row.
 TRAIN_ROWS = 300
+TRAIN_ROWS_IN_ALL = 20_000
 TRAIN_SEGMENTS = 4
-#: Languages at most; further ones, the rarest, are not learned.
-LANGUAGES = 64
 EPOCHS = 5
 BATCH = 128
 RATE = 0.02
@@ -190,15 +189,17 @@ def segments_of(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.nda
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, key: Column, rows: int = TRAIN_ROWS, segments: int = TRAIN_SEGMENTS) -> list:
     """(lang, part) rows: of each language at most ``rows`` documents with the lowest hashes, and of those
-    ``segments`` stretches spread over the whole text. At most LANGUAGES languages.
+    ``segments`` stretches spread over the whole text. Of more languages than share TRAIN_ROWS_IN_ALL at
+    that number, each has fewer rows, but one at least.
 
     A first pass counts the languages; the second keeps about twice the rows
     wanted by their hashes alone, and cuts these to the bound.
     """
     learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    sizes = [(r[0], r[1]) for r in learn.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
+    sizes = [(r[0], r[1]) for r in learn.groupBy(lang_col).count().orderBy(lang_col).collect()]
     if not sizes:
         return []
+    rows = max(1, min(rows, TRAIN_ROWS_IN_ALL // len(sizes)))
     share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, (2.0 * rows + 50) / n)))])
     hashed = learn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key.cast("string"), F.lit(17)).alias("h"))
     few = hashed.where((F.col("h").cast("double") / 2.0**64 + 0.5) < F.try_element_at(share, F.col("lang")))
@@ -232,12 +233,13 @@ def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", keep
     Python whole: a scalar function would have Spark keep them on disk meanwhile.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    flag_name = max([*docs.columns, ""], key=len) + "_"  # none of the columns
     text = F.col(text_col).cast("string")
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     usable = F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), text)
-    sent = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), (usable if text_col not in names else F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).alias("__usable"))
+    sent = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), (usable if text_col not in names else F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).alias(flag_name))
     schema = T.StructType(sent.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,5 +256,6 @@ def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", keep
             score = np.where(known, np.round(np.minimum(prob[np.arange(len(best)), best], 1.0), 6), 0.0)
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        release()
 
     return sent.mapInArrow(run, schema)

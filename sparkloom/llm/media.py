@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import release
+
 RATE = 8000
 #: Payloads are padded with spaces to a multiple of this.
 BLOCK = 192
@@ -23,6 +25,8 @@ FAN = 3
 SPAN = 31
 #: Frames transformed at a time.
 FRAMES_AT_ONCE = 4096
+#: Rows that go back to Spark together.
+ROWS_AT_ONCE = 500
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -91,12 +95,12 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
 
 
-def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
+def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_hashes: bool = False, with_media: bool = False) -> DataFrame:
     """Store each text as WAV samples, read them back and fingerprint them.
 
     Returns id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature (number of hashes and a digest of them),
-    and on request media binary and hashes array<long>. All but n_bytes come
+    and on request the fingerprint itself as hashes array<long>, and media binary. All but n_bytes come
     from the samples read back. A null or empty text is one block of spaces;
     equal texts give equal values; repeated rows give repeated rows and an
     empty table an empty one; other columns aren't read. One narrow scan; a
@@ -105,8 +109,10 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    if with_hashes:
+        names, kinds, schema = [*names, "hashes"], [*kinds, pa.list_(pa.int64())], schema + ", hashes array<bigint>"
     if with_media:
-        names, kinds, schema = [*names, "media", "hashes"], [*kinds, pa.binary(), pa.list_(pa.int64())], schema + ", media binary, hashes array<bigint>"
+        names, kinds, schema = [*names, "media"], [*kinds, pa.binary()], schema + ", media binary"
 
     def row(text: str | None) -> tuple:
         media = to_wav(payload_of(text))
@@ -114,14 +120,17 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         hashes = fingerprint(np.frombuffer(back, np.uint8))
         feature = f"{len(hashes)}:{hashlib.sha256(hashes.astype('<i8').tobytes()).hexdigest()[:32]}"
         out = (len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-        return (*out, media, hashes.tolist()) if with_media else out
+        return (*out, *[hashes] * with_hashes, *[media] * with_media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = zip(*(row(text.as_py()) for text in batch.column(1)), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                columns = zip(*(row(text.as_py()) for text in part.column(1)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names)
+        release()
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)

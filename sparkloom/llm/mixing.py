@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sources up to which their table of a few numbers each is broadcast; with more it is joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+BROADCAST_SOURCES = 5_000
 #: The largest mean that is inverted at once; a larger one is a sum of draws.
 PART_MEAN = 200.0
 
@@ -37,22 +37,22 @@ def _cdf(mean: Column) -> Column:
 
 
 def source_means(docs: DataFrame, source_col: str = "source", *, exponent: float = 0.5, scale: float = 1.0, weights: dict[str, float] | None = None) -> tuple[DataFrame, int]:
-    """(source, mean) and the number of sources.
+    """(of, mean): the sources and their means; and the number of sources.
 
     Target shares are ``weights`` (sources not named get none), or else in
     proportion to the sources' sizes to the power ``exponent``; the expected
     size of the mix is ``scale`` times the input's.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sizes = docs.groupBy(F.col(source_col).alias("of")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     if weights:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("__source")), F.lit(0.0))
+        share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("of")), F.lit(0.0))
     else:
         share = F.pow("n", F.lit(float(exponent)))
     sizes = sizes.withColumn("share", share)
     total = sizes.agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.count(F.lit(1)).alias("sources")).first()
     factor = float(scale) * (total["n"] or 0.0) / (total["share"] or 1.0)
-    return sizes.select("__source", (F.lit(factor) * F.col("share") / F.col("n")).alias("__mean")), total["sources"]
+    return sizes.select("of", (F.lit(factor) * F.col("share") / F.col("n")).alias("mean")), total["sources"]
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, exponent: float = 0.5, scale: float = 1.0, weights: dict[str, float] | None = None) -> DataFrame:
@@ -67,18 +67,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     of the copies by a random key, so no source, however large, meets in a task.
     """
     means, n_sources = source_means(docs, source_col, exponent=exponent, scale=scale, weights=weights)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__mean") / PART_MEAN)).cast("int")
-    means = means.withColumn("__parts", parts).withColumn("__cdf", _cdf(F.col("__mean") / F.col("__parts")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN)).cast("int")
+    means = means.withColumn("parts", parts).withColumn("cdf", _cdf(F.col("mean") / F.col("parts")))
     if n_sources <= BROADCAST_SOURCES:
         means = F.broadcast(means)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    joined = docs.join(means, F.col(source_col).eqNullSafe(F.col("__source")))
-    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
-    one = joined.withColumn("__u", uniform(F.lit(str(seed)), key, F.lit("1")))
-    single = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    several = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + draw(j))
-    counted = one.withColumn("__count", F.when(F.col("__parts") == 1, single).otherwise(several))
-    kept = counted.where(F.col("__count") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    keyed = kept.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy_no").cast("string")).cast("binary")))
     columns = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
-    return keyed.select(*columns, "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
+    joined = rows.join(means, F.col("source").eqNullSafe(F.col("of")))
+    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(str(seed)), F.col("key"), j.cast("string"))))
+    one = joined.withColumn("u", uniform(F.lit(str(seed)), F.col("key"), F.lit("1")))
+    single = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + draw(j))
+    counted = one.withColumn("times", F.when(F.col("parts") == 1, single).otherwise(several))
+    kept = counted.where(F.col("times") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    keyed = kept.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("key"), F.col("copy_no").cast("string")).cast("binary")))
+    return keyed.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")

@@ -56,8 +56,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as WAV samples with a fingerprint."""
-    return media.media_columns(_table(spark, sf_dir, "documents"))
+    """Every document as WAV samples with a fingerprint: its time-coded hashes, and a digest of them."""
+    return media.media_columns(_table(spark, sf_dir, "documents"), with_hashes=True)
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +109,13 @@ _JOINED = "array_to_string(list_transform({0}, lambda x: ['assign','access','hex
 _VALUE = f"CASE WHEN x.kind = 0 THEN regexp_extract(x.value, {_ASSIGN}, 2) ELSE x.value END"
 
 ORACLE_SQL["op10_secrets"] = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-m AS (SELECT doc_id, source, CASE WHEN regexp_matches(t, {_ASSIGN}) THEN {_spans_sql(0, secrets.ASSIGN)} ELSE [] END AS a, CASE WHEN contains(t, 'AKIA') THEN {_spans_sql(1, secrets.ACCESS)} ELSE [] END AS k,
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(t, {_ASSIGN}) THEN {_spans_sql(0, secrets.ASSIGN)} ELSE [] END AS a, CASE WHEN contains(t, 'AKIA') THEN {_spans_sql(1, secrets.ACCESS)} ELSE [] END AS k,
  CASE WHEN regexp_matches(t, '{secrets.HEX}') THEN {_spans_sql(2, secrets.HEX)} ELSE [] END AS h, CASE WHEN regexp_matches(t, '{secrets.BARE}') THEN {_spans_sql(3, secrets.BARE)} ELSE [] END AS r FROM d),
-b AS (SELECT doc_id, source, list_sort(list_concat(list_filter(a, lambda x: length(regexp_extract(x.value, {_ASSIGN}, 2)) >= 12), list_concat(list_filter(k, lambda x: length(x.value) >= 18), h))) AS base, r FROM m),
-c AS (SELECT doc_id, source, base, list_filter(r, lambda x: regexp_matches(x.value, '[a-z]') AND regexp_matches(x.value, '[A-Z]') AND regexp_matches(x.value, '[0-9]') AND len(list_filter(base, lambda y: y.start < x.end AND x.start < y.end)) = 0) AS bare FROM b),
-v AS (SELECT DISTINCT source, unnest(list_transform(list_concat(base, bare), lambda x: {_VALUE})) AS value FROM c),
-w AS (SELECT coalesce(list(value), []) AS copied FROM (SELECT value FROM v GROUP BY value HAVING count(DISTINCT source) >= {secrets.COPIED_FROM})),
+b AS (SELECT doc_id, source, lang, list_sort(list_concat(list_filter(a, lambda x: length(regexp_extract(x.value, {_ASSIGN}, 2)) >= 12), list_concat(list_filter(k, lambda x: length(x.value) >= 18), h))) AS base, r FROM m),
+c AS (SELECT doc_id, source, lang, base, list_filter(r, lambda x: regexp_matches(x.value, '[a-z]') AND regexp_matches(x.value, '[A-Z]') AND regexp_matches(x.value, '[0-9]') AND len(list_filter(base, lambda y: y.start < x.end AND x.start < y.end)) = 0) AS bare FROM b),
+v AS (SELECT DISTINCT source, concat_ws('/', source, lang) AS repo, unnest(list_transform(list_concat(base, bare), lambda x: {_VALUE})) AS value FROM c),
+w AS (SELECT coalesce(list(value), []) AS copied FROM (SELECT value FROM v GROUP BY value HAVING count(DISTINCT source) >= {secrets.COPIED_FROM} OR count(DISTINCT (source, repo)) >= {secrets.COPIED_REPOS})),
 e AS (SELECT doc_id, base, list_sort(list_concat(base, list_filter(bare, lambda x: NOT list_contains(copied, {_VALUE})))) AS every, copied FROM c, w)
 SELECT doc_id, len(list_filter(base, lambda x: x.kind = 0)) AS n_assign, len(list_filter(base, lambda x: x.kind = 1)) AS n_access, len(list_filter(base, lambda x: x.kind = 2)) AS n_hex,
  sha256({_JOINED.format("base")}) AS base_sha256, {_JOINED.format("every")} AS spans, len(list_filter(every, lambda x: NOT list_contains(copied, {_VALUE}))) AS n_live, len(list_filter(every, lambda x: list_contains(copied, {_VALUE}))) AS n_copied FROM e

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, small
 
 # The three base kinds in their order, then the kind added here.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,8 +21,9 @@ HEX = r"[0-9a-f]{16,}"
 BARE = r"[A-Za-z0-9+_-]{20,}"
 KINDS = ("assign", "access", "hex", "bare")
 
-#: Owners from which on a value counts as widely copied.
+#: Owners, or repositories of however few owners, from which on a value counts as widely copied.
 COPIED_FROM = 3
+COPIED_REPOS = 6
 
 
 def _literal(pattern: str) -> Column:
@@ -32,29 +33,38 @@ def _literal(pattern: str) -> Column:
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost non-overlapping matches as (start, kind, end, value): code points, end exclusive.
 
-    Positions follow from the lengths of the matches and of what lies between them.
+    Positions follow from the lengths of the matches and of what lies between
+    them. A text of n matches takes steps of n: the lengths are added up by
+    parts of about the square root of n matches, each with its own sums.
     """
     found = F.regexp_extract_all(text, _literal(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("n")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    width = F.ceil(F.sqrt(F.size(found))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda i: F.slice(pairs, i * width + 1, width))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def begins(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(last + x))
+
+    lengths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"]))
+    offsets = F.aggregate(lengths, F.array(F.lit(0)), begins)
+
+    def spans(p: Column, offset: Column) -> Column:
+        ends = F.aggregate(F.transform(p, lambda x: x["gap"] + x["n"]), F.array(offset), begins)
+        return F.zip_with(p, F.slice(ends, F.lit(2), F.size(p)), lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value")))
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(zero["out"])
+    return F.when(F.size(found) > 0, F.flatten(F.zip_with(parts, F.slice(offsets, F.lit(1), F.size(parts)), spans))).otherwise(none)
 
 
 def _value(span: Column) -> Column:
     return F.when(span["kind"] == 0, F.regexp_extract(span["value"], ASSIGN, 2)).otherwise(span["value"])
 
 
-def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds __base and __bare: arrays of (start, kind, end, hash)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` with base and bare, the candidates of the column text: arrays of (start, kind, end, hash)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     has = {k: text.rlike(p) for k, p in enumerate((ASSIGN, ACCESS, HEX, BARE))}
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     of = lambda k, p: F.when(has[k], _matches(text, p, k)).otherwise(none)
@@ -62,9 +72,9 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     access = F.filter(of(1, ACCESS), lambda x: F.length(x["value"]) >= 18)
     bare = F.filter(of(3, BARE), lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]"))
     hashed = lambda x: F.struct(x["start"], x["kind"], x["end"], F.md5(_value(x).cast("binary")).alias("hash"))
-    out = docs.withColumn("__base", F.concat(assign, access, of(2, HEX))).withColumn("__bare", bare)
-    free = lambda x: ~F.exists(F.col("__base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return out.withColumn("__bare", F.transform(F.filter("__bare", free), hashed)).withColumn("__base", F.sort_array(F.transform("__base", hashed)))
+    out = rows.withColumn("base", F.concat(assign, access, of(2, HEX))).withColumn("bare", bare)
+    free = lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return out.withColumn("bare", F.transform(F.filter("bare", free), hashed)).withColumn("base", F.sort_array(F.transform("base", hashed)))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -74,42 +84,53 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("owner").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def _copied_by_id(found: DataFrame, copied_from: int) -> DataFrame:
-    """__id, __copied: for each id with any, the hashes of its candidates that are widely copied."""
-    each = found.select("id", "owner", "repo", F.explode(F.concat("base", "bare")).alias("x")).select("id", "owner", "repo", "x.hash")
-    copied = ownership(each).where(F.col("n_owners") >= copied_from).select("hash")
-    by_id = each.select("id", "hash").distinct().join(copied, "hash").groupBy("id")
-    return by_id.agg(F.sort_array(F.collect_set("hash")).alias("__copied")).withColumnRenamed("id", "__id")
+def widely_copied(found: DataFrame, copied_from: int = COPIED_FROM, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """hash of the candidates that many owners, or many repositories of few owners, hold."""
+    each = found.select("owner", "repo", F.explode(F.concat("base", "bare")).alias("x")).select("x.hash", "owner", "repo")
+    owned = ownership(each).where((F.col("n_owners") >= copied_from) | (F.col("n_repos") >= copied_repos))
+    return materialize(owned.select("hash"), "copied")
+
+
+def _copied_by_id(found: DataFrame, copied_from: int, copied_repos: int) -> DataFrame:
+    """id, copied: for each id with any, the hashes of its candidates that are widely copied."""
+    each = found.select("id", F.explode(F.concat("base", "bare")).alias("x")).select("id", "x.hash").distinct()
+    by_id = each.join(small(widely_copied(found, copied_from, copied_repos)), "hash").groupBy("id")
+    return by_id.agg(F.sort_array(F.collect_set("hash")).alias("copied"))
+
+
+def _with_copied(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """``rows`` with the column copied, by id; null where there are none."""
+    return rows.join(copied.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def _is_copied(span: Column) -> Column:
-    return F.coalesce(F.array_contains("__copied", span["hash"]), F.lit(False))
+    return F.coalesce(F.array_contains("copied", span["hash"]), F.lit(False))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, owner: Column | None, repo: Column | None) -> DataFrame:
     """id, owner, repo, base, bare of every row, in a table of the shared folder."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"))
-    return materialize(with_candidates(read, "text").select("id", "owner", "repo", F.col("__base").alias("base"), F.col("__bare").alias("bare")), "secrets")
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"))
+    return materialize(with_candidates(read).select("id", "owner", "repo", "base", "bare"), "secrets")
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, copied_from: int = COPIED_FROM) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, copied_from: int = COPIED_FROM, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """Secrets of every text.
 
     Returns id_col, base and added: arrays of (start, kind, end, hash, copied),
     by start and kind; kind is an index into KINDS. ``copied`` tells examples
-    that ``copied_from`` owners or more hold from live-looking values; a bare
-    token is added only if it isn't copied. Owner and repository are columns of
-    ``docs``; by default the source, and the source with the language. A null
-    owner is no owner. Null and empty texts have no spans; repeated rows give
+    that ``copied_from`` owners or ``copied_repos`` repositories or more hold from
+    live-looking values; a bare token is added only if it isn't copied. Owner and repository are columns of
+    ``docs``; by default the source stands in for the owner, and the source with the
+    language for the repository. A null owner is no owner. Null and empty texts have no spans; repeated rows give
     repeated rows; an empty table an empty one; other columns aren't read.
 
     One scan of the texts, whose narrow outcome is written to the shared
     folder; what is shuffled are candidates and a row for each document.
     """
     found = _found(docs, id_col, text_col, owner, repo)
-    joined = found.join(_copied_by_id(found, copied_from), F.col("id").eqNullSafe(F.col("__id")), "left")
+    joined = _with_copied(found, _copied_by_id(found, copied_from, copied_repos))
     marked = lambda x: F.struct(x["start"], x["kind"], x["end"], x["hash"], _is_copied(x).alias("copied"))
     return joined.select(F.col("id").alias(id_col), F.transform("base", marked).alias("base"), F.transform(F.filter("bare", lambda x: ~_is_copied(x)), marked).alias("added"))
 
@@ -128,23 +149,25 @@ def summarize(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(every).alias("spans"), live.alias("n_live"), (F.size(every) - live).cast("long").alias("n_copied"))
 
 
-def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, copied_from: int = COPIED_FROM, mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, copied_from: int = COPIED_FROM, copied_repos: int = COPIED_REPOS, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with live-looking secrets masked in the text; every row stays, with the same columns.
 
     Copied examples stay as they are. Overlapping spans are masked as one. Null
-    texts stay null.
+    texts stay null, repeated rows stay repeated, an empty table stays empty;
+    other columns, whatever their names, are carried along.
     """
-    copied = _copied_by_id(_found(docs, id_col, text_col, owner, repo), copied_from)
-    text = F.col(text_col)
-    joined = with_candidates(docs, text_col).join(copied, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    live = joined.withColumn("__live", F.sort_array(F.filter(F.concat("__base", "__bare"), lambda x: ~_is_copied(x))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    copied = _copied_by_id(_found(docs, id_col, text_col, owner, repo), copied_from, copied_repos)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined = _with_copied(with_candidates(rows), copied)
+    live = F.sort_array(F.filter(F.concat("base", "bare"), lambda x: ~_is_copied(x)))
+    text, zero = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         gap = text.substr(acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(F.concat(gap, F.lit(mask))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    done = live.withColumn("__done", F.when((F.size("__live") > 0) & text.isNotNull(), F.aggregate("__live", zero, step)))
-    masked = F.concat(F.col("__done.out"), text.substr(F.col("__done.at") + 1, F.length(text)))
-    return done.withColumn(text_col, F.when(F.col("__done").isNull(), text).otherwise(masked)).select(*docs.columns)
+    done = joined.withColumn("live", live).withColumn("done", F.when((F.size("live") > 0) & text.isNotNull(), F.aggregate("live", zero, step)))
+    masked = F.concat(F.array_join("done.out", ""), text.substr(F.col("done.at") + 1, F.length(text)))
+    new = F.when(F.col("done").isNull(), F.col(f"row.`{text_col}`")).otherwise(masked)
+    return done.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

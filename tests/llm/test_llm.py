@@ -29,7 +29,7 @@ def docs(spark, texts, start=0, **columns):
 def awkward(spark):
     """Awkward texts, each row twice, with columns whose names operators use themselves."""
     df = docs(spark, AWKWARD)
-    return df.union(df).withColumns({"id": F.lit("x"), "key": F.lit(1), "copy_no": F.lit(9), "score": F.lit(2), "hash": F.lit(3), "n_tokens": F.lit(4)})
+    return df.union(df).withColumns({"id": F.lit("x"), "key": F.lit(1), "copy_no": F.lit(9), "score": F.lit(2), "hash": F.lit(3), "n_tokens": F.lit(4)} | {c: F.lit(5) for c in "row base bare copied live done of mean cdf parts u times first node n hi lo hashes words at near p d q v s tile cell feature spans lang_pred".split()})
 
 
 def test_bpe_agrees_with_the_library():
@@ -104,11 +104,54 @@ def test_jaccard_is_exact(spark, tile):
     assert got == brute_components(rows)
 
 
+def test_jaccard_over_templates_of_many_sizes(spark):
+    rng = random.Random(31)
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        own = [f"u{i}_{k}" for k in range(rng.randrange(10, 45))]
+        texts.append(" ".join(template[: rng.randrange(100, 150)] + own))
+        if i % 3 == 0:
+            texts.append(texts[-1] + " z")
+    df = docs(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, tile=4).collect()}
+    assert got == brute_components([(i, t) for i, t in enumerate(texts)])
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "x" * 9, "x" * 10, "x" * 65, "x" * 66, "A" * 70, "a" * 70]
+    got = [r["component_id"] for r in jaccard.jaccard_components(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1, 2, 3, 4, 5, 6, 6]
+
+
+@pytest.mark.parametrize(("sizes", "by"), [([30, 60, 120, 240, 480, 960, 1920, 3840], "halves"), ([200] * 8, "cells")])
+def test_regions_are_parted_by_size_and_into_cells(sizes, by):
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in sizes:  # clusters far apart
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for _ in range(25):
+            keep = rng.random(len(base)) < 0.96
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, 3).astype(np.uint64)])))
+    region = jaccard.Region(sets)
+    region.join(np.arange(len(sets)), np.ones(len(sets), bool))
+    plain = jaccard.Region(sets)
+    plain._leaf(np.arange(len(sets)), np.ones(len(sets), bool))
+    assert region.counts[by] > 0
+    assert region.counts["pairs"] < 0.5 * plain.counts["pairs"]
+    assert [region.root(i) for i in range(len(sets))] == [plain.root(i) for i in range(len(sets))]
+
+
 def test_jaccard_awkward_rows(spark):
     rows = jaccard.jaccard_components(awkward(spark)).collect()
     assert len(rows) == 2 * len(AWKWARD)
     assert all(r["component_id"] == r["doc_id"] for r in rows if r["n_shingles"] == 0)
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
+    clashing = docs(spark, ["a b c d e f", "a b c d e f", "g"]).withColumns({"__gone": F.lit(1), "first": F.lit(2), "node": F.lit(3)})
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(clashing).collect()) == [0, 2]
     kept = jaccard.keep_one(docs(spark, ["a b c d e f", "a b c d e f", "g"]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and kept.columns == docs(spark, []).columns
 
@@ -353,7 +396,7 @@ def test_mixing(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     once, again = (mixing.mix(d).select("doc_id", "copy_no", "mix_key").collect() for d in (df, df.repartition(7)))
     assert sorted(once) == sorted(again)
-    means = {r["__source"]: r["__mean"] for r in mixing.source_means(df)[0].collect()}
+    means = {r["of"]: r["mean"] for r in mixing.source_means(df)[0].collect()}
     for source, n in (("big", 3000), ("small", 300), (None, 100)):
         count = mixing.mix(df).where(F.col("source").eqNullSafe(source)).count()
         assert abs(count - n * means[source]) < 5 * (n * means[source]) ** 0.5
@@ -424,22 +467,131 @@ def test_ownership_and_redaction(spark):
     assert secrets.redact_secrets(awkward(spark)).count() == 2 * len(AWKWARD)
 
 
-def test_pipeline_against_plain_stages(spark):
+def test_pipeline_stages_on_awkward_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, none = awkward(spark), awkward(spark).limit(0)
+    for name, stage in pipeline.STAGES:
+        last = name == pipeline.STAGES[-1][0]
+        out = stage(spark, rows, "")
+        assert last or out.columns == rows.columns
+        assert out.count() <= 2 * rows.count() and stage(spark, none, "").count() == 0
+        if name in ("secrets", "encoding"):
+            assert out.count() == rows.count()
+        if name == "near_duplicates":
+            assert out.where("text is null or trim(text) = ''").count() == rows.where("text is null or trim(text) = ''").count()
+
+
+def plain_pipeline(spark, rows, model):
+    """The five stages in plain Python: {doc_id: [(n_tokens, ids_sha256), ...]} of the copies."""
+    tiktoken = pytest.importorskip("tiktoken")
+    kept = []
+    for i, text, _, source in rows:  # language: one text at a time through the network that is trained
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        if not text or not any(c.isalpha() for c in text):
+            continue
+        total = np.zeros(len(model.languages))
+        for k in range(0, len(raw), language.SEGMENT):
+            x = raw[k : k + language.SEGMENT].astype(np.int64)[:, None]
+            mask = np.ones(x.shape, np.float32)
+            total += model._scores(np.concatenate([model._run(d, x, mask)[0] for d in "fb"], -1))[:, 0].sum(0)
+        if (total / len(raw)).max() >= 0.4:
+            kept.append((i, text, source))
+    label = brute_components([(i, t) for i, t, _ in kept])
+    kept = [x for x in kept if label[x[0]][1] == x[0]]
+    found, owners, repos = {}, {}, {}
+    lang = {i: lang for i, _, lang, _ in rows}
+    for i, text, source in kept:
+        base = brute_spans(text)
+        spans = [(a, b, re.search(secrets.ASSIGN, text[a:b])[2] if k == 0 else text[a:b]) for a, k, b in base]
+        for m in re.finditer(secrets.BARE, text):
+            if all(re.search(p, m[0]) for p in ("[a-z]", "[A-Z]", "[0-9]")) and not any(a < m.end() and m.start() < b for a, _, b in base):
+                spans.append((m.start(), m.end(), m[0]))
+        found[i] = sorted(spans)
+        for _, _, value in spans:
+            owners.setdefault(value, set()).add(source)
+            repos.setdefault(value, set()).add((source, "/".join(x for x in (source, lang[i]) if x is not None)))
+    masked = []
+    for i, text, source in kept:
+        out, at = "", 0
+        for a, b, value in found[i]:
+            if len(owners[value] - {None}) >= secrets.COPIED_FROM or len(repos[value]) >= secrets.COPIED_REPOS:
+                continue
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        masked.append((i, out + text[at:], source))
+    sizes = {}
+    for _, _, source in masked:
+        sizes[source] = sizes.get(source, 0) + 1
+    factor = len(masked) / sum(n**0.5 for n in sizes.values())
+    ranks = bpe.text_encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).v.ranks
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = {}
+    for i, text, source in masked:
+        mean = factor * sizes[source] ** 0.5 / sizes[source]
+        u = int(hashlib.md5(f"7:{i}:1".encode()).hexdigest()[:12], 16) / 2**48
+        p = below = np.exp(-mean)
+        copies = 0
+        while below <= u:
+            copies += 1
+            p *= mean / copies
+            below += p
+        ids = library.encode_ordinary(text)
+        if copies:
+            out[i] = [(len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())] * copies
+    return out
+
+
+def test_pipeline_agrees_with_a_plain_one(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
-    clean = pipeline.identify_language(spark, df, "")
-    assert clean.columns == df.columns and clean.count() == df.where(F.col("text").rlike(r"\p{L}")).count()
-    kept = {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, df, "").collect()}
-    assert kept == {c for _, c in brute_components([(r["doc_id"], r["text"]) for r in df.collect()]).values()}
-    masked = pipeline.mask_secrets(spark, df, "")
-    assert masked.columns == df.columns and masked.count() == df.count()
-    for r in secrets.summarize(secrets.scan_secrets(masked)).collect():
-        assert r["n_live"] == 0
-    mixed = pipeline.mix_sources(spark, df, "")
-    assert mixed.columns == df.columns
-    counts = {r["doc_id"]: r["c"] for r in mixing.mix(df).groupBy("doc_id").agg(F.max("copy_no").alias("c")).collect()}
-    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == counts
-    assert {n for n, _ in pipeline.STAGES} and pipeline.encode(spark, df, "").count() == df.count()
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(150)
+    extra = spark.createDataFrame([(90_000 + i, f"Some more words about the thing number {i}: password=examplevalue12 and token: live{i}secretvalue77", "en", f"x{i}", 0) for i in range(4)] + [(99_998, None, None, None, 0), (99_999, "", "en", None, 0)], SCHEMA)
+    df.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).union(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()]
+    got = {}
+    for r in pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_sha256"]))
+    assert got == plain_pipeline(spark, rows, language.fit(df))
+
+
+def test_gru_labels_positions_as_it_was_trained():
+    model = language.ByteGru(["a", "b", "c"], seed=8)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (40, 7))
+    mask = (np.arange(40)[:, None] < np.array([40, 1, 17, 40, 33, 8, 25])).astype(np.float32)
+    want = model._scores(np.concatenate([model._run(d, x, mask)[0] for d in "fb"], -1)) * mask[..., None]
+    got = model.positions(x, mask).transpose(0, 2, 1) * mask[..., None]
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_language_learns_every_language(spark):
+    alphabet = [chr(0x4E00 + 40 * i) for i in range(70)]
+    rows = [(k * 100 + i, " ".join(c * 3 for _ in range(30)), f"l{k:02}", "s", 0) for k, c in enumerate(alphabet) for i in range(3)]
+    sample = language.training_sample(spark.createDataFrame(rows, SCHEMA), "text", "lang", F.col("doc_id"))
+    assert len({r["lang"] for r in sample}) == 70
+    assert language.predict(docs(spark, []), language.ByteGru(["a", "b"])).count() == 0
+
+
+def test_media_agrees_with_a_plain_fingerprint(spark):
+    texts = ["hello world " * 60, "x", None, "".join(chr(32 + (i * i) % 90) for i in range(3000))]
+    for r in media.media_columns(docs(spark, texts), with_hashes=True, with_media=True).collect():
+        payload = media.payload_of(texts[r["doc_id"]])
+        header = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") * 2 + (8000).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"data" + len(payload).to_bytes(4, "little")
+        assert r["media"] == header + payload and r["media_sha256"] == hashlib.sha256(header + payload).hexdigest()
+        samples = np.frombuffer(payload, np.uint8).astype(float) - 128
+        frames = len(payload) // media.HOP
+        padded = np.concatenate([samples, np.zeros(media.FRAME)])
+        loud = np.array([np.abs(np.fft.rfft(padded[t * media.HOP : t * media.HOP + media.FRAME] * np.hanning(media.FRAME)))[1:] for t in range(frames)])
+        found = []
+        for t in range(frames):
+            for low in (0, media.FRAME // 4):
+                k = low + int(loud[t, low : low + media.FRAME // 4].argmax())
+                if loud[t, k] > 1e-3 and (t == 0 or loud[t, k] > loud[t - 1, k]) and (t == frames - 1 or loud[t, k] >= loud[t + 1, k]):
+                    found.append((t, k + 1))
+        want = sorted(t << 32 | a << 16 | b << 8 | u - t for i, (t, a) in enumerate(found) for u, b in found[i + 1 : i + 1 + media.FAN] if u - t <= media.SPAN)
+        assert len(set(want) ^ set(r["hashes"])) <= 0.02 * len(want)  # single precision may turn a tie
+        assert r["feature"].split(":")[0] == str(len(r["hashes"]))
 
 
 def test_word_hashes_tell_words_apart():
