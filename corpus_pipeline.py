@@ -12,41 +12,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, jaccard, language, mixing, secrets
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import BATCHES, materialize
 
 #: Documents whose language is less probable than this are rejected.
 LEAST_SCORE = 0.4
 
 
+def bounded(spark: SparkSession) -> None:
+    """Whole rows go to Python here: in batches of bounded bytes, for the rest of the session."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: null texts, texts without a letter and undecided ones go."""
+    """Documents in a learned language: null texts, texts without a letter and undecided ones go.
+
+    Repeated rows are judged one by one and alike; without labelled rows nothing
+    is learned and all go; an empty table stays empty. Other columns, whatever
+    their names, are carried along.
+    """
+    bounded(spark)
     found = language.predict(docs, language.fit(docs))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
+    """One document of each group of near-duplicates, the one of the smallest id.
+
+    Rows that share an id stay or go together; null and blank texts and rows
+    without an id stay; other columns are carried along.
+    """
     return jaccard.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets masked; every document stays."""
+    """Live-looking secrets masked; every document stays, null texts as null, repeated rows repeated, with all columns."""
     return secrets.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target share draws it, shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Each document as often as its source's target share draws it, shuffled.
+
+    Rows of one id are drawn equally often; a null source is a source. Columns
+    named copy_no or mix_key are carried along no further.
+    """
+    return mixing.mix(docs).select(*(c for c in docs.columns if c not in ("copy_no", "mix_key")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every copy."""
+    """Token counts and digests of every copy; a null text counts as empty."""
+    bounded(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("mixing", mix_sources), ("encoding", encode)]
 
-#: SQL expresses neither the network nor the encoding; tests/llm compares run() with a plain version.
+#: SQL expresses neither the network nor the encoding; test_pipeline_agrees_with_a_plain_one in tests/llm compares run() with plain stages.
 ORACLE_SQL = None
 
 
