@@ -30,32 +30,25 @@ def _literal(pattern: str) -> Column:
     return F.lit(pattern)
 
 
-def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end, value): code points, end exclusive.
+def _spans(found: Column, gaps: Column, kind: int) -> Column:
+    """The matches ``found`` as (start, kind, end, value): code points, end exclusive; ``gaps`` are the lengths between them.
 
-    Positions follow from the lengths of the matches and of what lies between
-    them. A text of n matches takes steps of n: the lengths are added up by
-    parts of about the square root of n matches, each with its own sums.
+    Positions are sums of lengths. A text of n matches takes steps of n: sums
+    run over parts of about the square root of n matches, and within each.
     """
-    found = F.regexp_extract_all(text, _literal(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("n")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     width = F.ceil(F.sqrt(F.size(found))).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda i: F.slice(pairs, i * width + 1, width))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda i: i * width + 1)
+    steps = lambda i: F.zip_with(F.slice(gaps, i, width), F.slice(found, i, F.least(width, F.size(found) - i + 1)), lambda g, m: F.when(m.isNotNull(), g + F.length(m)).otherwise(0))
+    running = lambda lengths, first: F.aggregate(lengths, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    offsets = running(F.transform(starts, lambda i: F.aggregate(steps(i), F.lit(0), lambda acc, x: acc + x)), F.lit(0))
 
-    def begins(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(last + x))
+    def part(i: Column, offset: Column) -> Column:
+        matches = F.slice(found, i, width)
+        ends = F.slice(running(steps(i), offset), F.lit(2), F.size(matches))
+        return F.zip_with(matches, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value")))
 
-    lengths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"]))
-    offsets = F.aggregate(lengths, F.array(F.lit(0)), begins)
-
-    def spans(p: Column, offset: Column) -> Column:
-        ends = F.aggregate(F.transform(p, lambda x: x["gap"] + x["n"]), F.array(offset), begins)
-        return F.zip_with(p, F.slice(ends, F.lit(2), F.size(p)), lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value")))
-
-    return F.when(F.size(found) > 0, F.flatten(F.zip_with(parts, F.slice(offsets, F.lit(1), F.size(parts)), spans))).otherwise(none)
+    return F.when(F.size(found) > 0, F.flatten(F.zip_with(starts, F.slice(offsets, F.lit(1), F.size(starts)), part))).otherwise(none)
 
 
 def _value(span: Column) -> Column:
@@ -63,18 +56,23 @@ def _value(span: Column) -> Column:
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
-    """``rows`` with base and bare, the candidates of the column text: arrays of (start, kind, end, hash)."""
+    """``rows`` with base and bare, the candidates of the column text: arrays of (start, kind, end, hash).
+
+    Each pattern runs over a text once, in a projection of its own.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    has = {k: text.rlike(p) for k, p in enumerate((ASSIGN, ACCESS, HEX, BARE))}
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    of = lambda k, p: F.when(has[k], _matches(text, p, k)).otherwise(none)
-    assign = F.filter(of(0, ASSIGN), lambda x: F.length(_value(x)) >= 12)
-    access = F.filter(of(1, ACCESS), lambda x: F.length(x["value"]) >= 18)
-    bare = F.filter(of(3, BARE), lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]"))
+    patterns = (ASSIGN, ACCESS, HEX, BARE)
+    found = rows.withColumns({f"found{k}": F.when(text.rlike(p), F.regexp_extract_all(text, _literal(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in enumerate(patterns)})
+    found = found.withColumns({f"gaps{k}": F.when(F.size(f"found{k}") > 0, F.transform(F.split(text, p, -1), F.length)) for k, p in enumerate(patterns)})
+    spans = [_spans(F.col(f"found{k}"), F.col(f"gaps{k}"), k) for k in range(len(patterns))]
+    assign = F.filter(spans[0], lambda x: F.length(_value(x)) >= 12)
+    access = F.filter(spans[1], lambda x: F.length(x["value"]) >= 18)
+    bare = F.filter(spans[3], lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]"))
     hashed = lambda x: F.struct(x["start"], x["kind"], x["end"], F.md5(_value(x).cast("binary")).alias("hash"))
-    out = rows.withColumn("base", F.concat(assign, access, of(2, HEX))).withColumn("bare", bare)
+    out = found.withColumn("base", F.concat(assign, access, spans[2])).withColumn("bare", bare)
     free = lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return out.withColumn("bare", F.transform(F.filter("bare", free), hashed)).withColumn("base", F.sort_array(F.transform("base", hashed)))
+    out = out.withColumn("bare", F.transform(F.filter("bare", free), hashed)).withColumn("base", F.sort_array(F.transform("base", hashed)))
+    return out.drop(*(f"{c}{k}" for c in ("found", "gaps") for k in range(len(patterns))))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -95,7 +93,7 @@ def _copied_by_id(found: DataFrame, copied_from: int, copied_repos: int) -> Data
     """id, copied: for each id with any, the hashes of its candidates that are widely copied."""
     each = found.select("id", F.explode(F.concat("base", "bare")).alias("x")).select("id", "x.hash").distinct()
     by_id = each.join(small(widely_copied(found, copied_from, copied_repos)), "hash").groupBy("id")
-    return by_id.agg(F.sort_array(F.collect_set("hash")).alias("copied"))
+    return small(materialize(by_id.agg(F.sort_array(F.collect_set("hash")).alias("copied")), "copied"))
 
 
 def _with_copied(rows: DataFrame, copied: DataFrame) -> DataFrame:

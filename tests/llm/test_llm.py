@@ -435,6 +435,37 @@ def test_search_is_exact(spark):
     assert kdtree.search(df.limit(0), is_query=F.lit(True)).count() == 0
 
 
+def test_carried_scores_spare_leaves():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 60
+    points = np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 6)
+    splits = kdtree.Splits([points[i] for i in range(0, 6000, 5)], 6)
+    cell, ids = splits.cells(points), np.arange(6000)
+    assert len(np.unique(cell)) == 6
+    queries = np.arange(0, 6000, 20)
+    visits = {}
+    for carry in (True, False):
+        scores, found = np.full((len(queries), 10), -np.inf), np.full((len(queries), 10), np.iinfo(np.int64).max)
+        visits[carry] = leaves = 0
+        for c in range(6):
+            tree = kdtree.KdTree(points[cell == c], ids[cell == c], leaf=32)
+            leaves += len(tree.leaves)
+            s, f = (scores, found) if carry else (np.full(scores.shape, -np.inf), np.full(found.shape, np.iinfo(np.int64).max))
+            visits[carry] += tree.search(points[queries], queries, 10, s, f)
+        if carry:
+            assert (scores == -np.sort(-np.where(queries[:, None] == ids, -np.inf, points[queries] @ points.T), 1)[:, :10]).all()
+    assert visits[True] < 0.6 * visits[False] and visits[True] < 0.5 * len(queries) * leaves
+
+
+def test_search_with_repeated_ids_and_equal_vectors(spark):
+    rows = [(i % 30, [float(i % 3), 1.0]) for i in range(120)] + [(100 + i, [1.0, 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in kdtree.search(df, is_query=F.col("vec_id") == 105, k=7, shard_rows=16).orderBy("rank").collect()]
+    ints = [(i, [int(64 * x) for x in v]) for i, v in rows if i != 105]
+    best = sorted((-(64 * v[0] + 64 * v[1]), i) for i, v in ints)[:7]
+    assert got == [(105, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+
+
 def brute_spans(text):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
@@ -445,7 +476,7 @@ def brute_spans(text):
 def test_secrets_agree_with_plain_scans(spark):
     rng = random.Random(9)
     bits = ["password", "TOKEN", "api_key", "apikey", "=", ": ", '"', "'", " ", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "xyz", "é", "\n", "-", "Secret"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(150)] + AWKWARD
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(150)] + AWKWARD + [" é ".join(f"{i:016x}" for i in range(3000))]
     rows = secrets.summarize(secrets.scan_secrets(docs(spark, texts))).collect()
     assert len(rows) == len(texts)
     for r in rows:
