@@ -24,6 +24,14 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def with_own_names(stage, docs: DataFrame, *names: str) -> DataFrame:
+    """What ``stage`` makes of ``docs``, whose own columns of these names, if any, step aside meanwhile."""
+    aside = {c: max(docs.columns, key=len) + f"_{i}" for i, c in enumerate(names) if c in docs.columns}
+    back = {v: k for k, v in aside.items()}
+    renamed = docs.withColumnsRenamed(aside)
+    return stage(renamed).select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in renamed.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: null texts, texts without a letter and undecided ones go.
 
@@ -32,8 +40,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     their names, are carried along.
     """
     bounded(spark)
-    found = language.predict(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model = language.fit(docs)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return with_own_names(lambda rows: language.predict(rows, model).where(known), docs, "lang_pred", "score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +62,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target share draws it, shuffled.
 
-    Rows of one id are drawn equally often; a null source is a source. Columns
-    named copy_no or mix_key are carried along no further.
+    Rows of one id are drawn equally often; a null source is a source; other
+    columns, whatever their names, are carried along.
     """
-    return mixing.mix(docs).select(*(c for c in docs.columns if c not in ("copy_no", "mix_key")))
+    return with_own_names(mixing.mix, docs, "copy_no", "mix_key")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
