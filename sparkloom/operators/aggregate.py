@@ -52,12 +52,21 @@ def masked_mean(values: Column, mask: Column) -> Column:
 
 
 def whiten(df: DataFrame, value: str, valid: Column, out: str, eps: float = 1e-8) -> DataFrame:
-    """(x - mean) / sqrt(var + eps) over the valid rows, with Bessel's correction."""
-    stats = df.where(valid).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    mean = F.col("s") / (F.col("n") + eps)
-    var = (F.col("q") / (F.col("n") + eps) - mean * mean) * F.try_divide(F.col("n"), F.col("n") - 1)
-    stats = stats.select(mean.alias("__m"), var.alias("__v"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(out, (F.col(value) - F.col("__m")) / F.sqrt(F.greatest(F.col("__v"), F.lit(0.0)) + eps)).drop("__m", "__v")
+    """(x - mean) / sqrt(var + eps) over the valid rows, with Bessel's correction; deviations are summed about the mean, so large means don't cancel."""
+    x, n = F.col(value).cast("double"), F.count(F.lit(1)).cast("double")
+    mean = F.avg(x) * n / (n + eps)
+    stats = df.where(valid).agg(mean.alias("mean_"), F.var_samp(x).alias("var_"))
+    return df.crossJoin(F.broadcast(stats)).withColumn(out, (x - F.col("mean_")) / F.sqrt(F.col("var_") + eps)).drop("mean_", "var_")
+
+
+def answer_profile(df: DataFrame, answer: str, number: Column) -> DataFrame:
+    """One row: the most common answer (the first by name among equals) and its share, shares of distinct and of missing answers, quantiles of the numbers."""
+    counts = df.groupBy(answer).agg(F.count(F.lit(1)).alias("n"))
+    given = F.col(answer).isNotNull()
+    modes = counts.agg(F.sum("n").alias("rows"), F.min_by(F.when(given, F.col(answer)), F.struct(~given, -F.col("n"), F.col(answer))).alias("mode"), F.max(F.when(given, F.col("n"))).alias("most"), F.count(answer).alias("unique"), F.coalesce(F.sum(F.when(~given, F.col("n"))), F.lit(0)).alias("missing"))
+    numbers = df.agg(*(F.percentile_approx(number, q, 10_000).alias(f"q{int(100 * q)}") for q in (0.1, 0.5, 0.9)))
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("rows"))
+    return modes.select("mode", share("most").alias("mode_fraction"), share("unique").alias("unique_fraction"), share("missing").alias("missing_fraction")).crossJoin(F.broadcast(numbers))
 
 
 def audit_scalars(df: DataFrame, reward: str, length: str, fmt: str | None = None) -> DataFrame:
@@ -71,9 +80,10 @@ def audit_scalars(df: DataFrame, reward: str, length: str, fmt: str | None = Non
 def answer_entropy(df: DataFrame, group: str, answer: str, reward: str) -> DataFrame:
     """Per group: size, unique fraction, normalised entropy of answers, and flags of collapse and of no signal."""
     counts = df.groupBy(group, answer).agg(F.count(F.lit(1)).alias("c"), F.min(reward).alias("lo"), F.max(reward).alias("hi"))
-    w = counts.groupBy(group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("unique"), F.collect_list("c").alias("cs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    p = F.transform(F.array_sort("cs"), lambda c: c / F.col("n").cast("double"))
-    entropy = F.aggregate(p, F.lit(0.0), lambda a, x: a - x * F.ln(x + 1e-12)) / F.ln(F.greatest(F.col("n"), F.lit(2)).cast("double"))
+    c = F.col("c").cast("double")
+    w = counts.groupBy(group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("unique"), F.sum(c * F.ln(c)).alias("clnc"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    n = F.col("n").cast("double")  # the sum of -p ln p is ln n less the mean of ln c
+    entropy = F.greatest(F.ln(n) - F.col("clnc") / n, F.lit(0.0)) / F.ln(F.greatest(n, F.lit(2.0)))
     return w.select(group, "n", (F.col("unique") / F.col("n").cast("double")).alias("unique_fraction"), entropy.alias("entropy"), ((F.col("unique") == 1) & (F.col("n") > 1)).alias("collapsed"), (F.col("hi") == F.col("lo")).alias("no_signal"))
 
 
@@ -110,7 +120,11 @@ def throughput(df: DataFrame, tokens: str, seconds: str, devices: int) -> DataFr
 
 
 def similarity(df: DataFrame, predicted: str, reference: str) -> DataFrame:
-    """Adds rouge_1, rouge_2, rouge_l (F scores) and bleu_4 of word sequences, in percent. Arrow-batched: it needs alignments."""
+    """Adds rouge_1, rouge_2, rouge_l (F scores of word sequences) and bleu_4 (of characters), in percent. Arrow-batched: it needs alignments.
+
+    Precisions without a hit are smoothed by halving: 1 / (2 size), 1 / (4 size)
+    and so on; without a common character bleu_4 is 0.
+    """
     import math
     from collections import Counter
     from collections.abc import Iterator
@@ -133,13 +147,21 @@ def similarity(df: DataFrame, predicted: str, reference: str) -> DataFrame:
             open_ = (open_ + u | open_ - u) & every
         return len(a) - open_.bit_count()
 
+    def character_bleu(p: str, r: str) -> float:
+        logs, missed = [], 0
+        for n in range(1, 5):
+            hit = sum((grams(list(p), n) & grams(list(r), n)).values())
+            if not hit and n == 1:
+                return 0.0
+            missed += not hit
+            logs.append(math.log((hit or 0.5**missed) / max(1, len(p) - n + 1)))
+        return math.exp(sum(logs) / 4) * (1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p)))
+
     def one(p: str, r: str) -> tuple:
         a, b = (p or "").split(), (r or "").split()
-        hits = [sum((grams(a, n) & grams(b, n)).values()) for n in range(1, 5)]
-        sizes = [(max(0, len(a) - n + 1), max(0, len(b) - n + 1)) for n in range(1, 5)]
-        logs = [math.log(max(h, 0.1) / s[0]) if s[0] else -10.0 for h, s in zip(hits, sizes, strict=True)]
-        brevity = 1.0 if len(a) > len(b) else math.exp(1 - len(b) / max(1, len(a)))
-        bleu = 100 * brevity * math.exp(sum(logs) / 4) if a else 0.0
+        hits = [sum((grams(a, n) & grams(b, n)).values()) for n in (1, 2)]
+        sizes = [(max(0, len(a) - n + 1), max(0, len(b) - n + 1)) for n in (1, 2)]
+        bleu = 100 * character_bleu(p or "", r or "")
         return f_score(hits[0], *sizes[0]), f_score(hits[1], *sizes[1]), f_score(common_length(a, b), len(a), len(b)), bleu
 
     names = ["rouge_1", "rouge_2", "rouge_l", "bleu_4"]

@@ -65,9 +65,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, keys: list[str],
     l = left.select(*keys, F.col(time).alias("__time"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("__r"))
     r = right.select(*keys, F.col(time).alias("__time"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), found.alias("__r"))
     both = l.unionByName(r)
-    order = Window.partitionBy(*keys).orderBy("__time")
-    before = F.last("__r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__r", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # both frames grow from one end, so each pass is linear in a key's rows
+    nearest = lambda time: F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = nearest(F.col("__time")), nearest(F.col("__time").desc())
     seen = both.withColumn("__b", before).withColumn("__a", after).where("__l is not null")
     d_b, d_a = distance(F.col("__time"), F.col("__b.t")), distance(F.col("__time"), F.col("__a.t"))
     near = F.when(d_a.isNull() | (d_b <= d_a), F.col("__b")).otherwise(F.col("__a"))

@@ -108,6 +108,77 @@ def policy_loss(old: Column, new: Column, advantage: Column, low: float = 0.2, h
     return F.when(advantage < 0, F.least(worst, -advantage * dual)).otherwise(worst)
 
 
+def sequence_policy_losses(old: Column, new: Column, advantage: Column, mask: Column, kind: str = "default", *, low: float = 0.2, high: float = 0.3, dual: float = 3.0, tau_positive: float = 1.0, tau_negative: float = 1.05) -> Column:
+    """Array of the losses of a sequence's tokens, from arrays; tokens that the mask leaves out have one too.
+
+    default: clipped surrogate with a bound for negative advantages. gspo: the
+    same with the sequence's mean log ratio at every token that counts;
+    gspo_token: at every token. cispo: the clipped ratio weighs the log
+    probability. sapo: a sigmoid gate of the ratio, of its own temperature for
+    negative advantages.
+    """
+    if kind not in ("default", "gspo", "gspo_token", "cispo", "sapo"):
+        raise ValueError(kind)
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    logs = F.zip_with(new, old, lambda n, o: n - o)
+    if kind.startswith("gspo"):
+        mean = add(F.zip_with(logs, mask, lambda x, m: x * m)) / (add(F.transform(mask, lambda m: m.cast("double"))) + 1e-8)
+        logs = F.transform(mask, lambda m: mean * m if kind == "gspo" else mean)
+    tokens = F.transform(F.arrays_zip(logs.alias("l"), new.alias("n"), advantage.alias("a")), lambda x: F.struct(x["a"].alias("a"), x["n"].alias("n"), F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), x["l"]))).alias("r")))
+    near = lambda r: F.greatest(F.lit(1.0 - low), F.least(F.lit(1.0 + high), r))
+    if kind == "cispo":
+        return F.transform(tokens, lambda t: -t["a"] * t["n"] * near(t["r"]))
+    if kind == "sapo":
+        gate = lambda r, tau: 4.0 / tau / (1.0 + F.exp(-tau * (r - 1.0)))
+        return F.transform(tokens, lambda t: -t["a"] * F.when(t["a"] >= 0, gate(t["r"], tau_positive)).otherwise(gate(t["r"], tau_negative)))
+    worst = lambda t: F.greatest(-t["a"] * t["r"], -t["a"] * near(t["r"]))
+    return F.transform(tokens, lambda t: F.when(t["a"] < 0, F.least(worst(t), -t["a"] * dual)).otherwise(worst(t)))
+
+
+def clip_fractions(df: DataFrame, old: str, new: str, advantage: str, mask: str, low: float = 0.2, high: float = 0.3, dual: float = 3.0) -> DataFrame:
+    """One row over the tokens that count: mean divergence, and shares of tokens clipped above, and bounded below."""
+    a, r = F.col(advantage), F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col(new) - F.col(old))))
+    plain, near = -a * r, -a * F.greatest(F.lit(1.0 - low), F.least(F.lit(1.0 + high), r))
+    counts = F.when(F.col(mask) != 0, 1.0)
+    share = lambda c: F.avg(counts * c.cast("double"))
+    return df.agg(F.avg(counts * (F.col(old) - F.col(new))).alias("kl"), share(plain < near).alias("clipped_above"), share((a < 0) & (F.greatest(plain, near) > -a * dual)).alias("bounded_below"))
+
+
+def group_fractions(df: DataFrame, flags: dict[str, Column], tokens: str) -> DataFrame:
+    """One row: for each flag the share of rows that have it, and the share of all tokens that those rows hold."""
+    n = F.col(tokens).cast("double")
+    parts = [x for k, f in flags.items() for x in (F.avg(f.cast("double")).alias(f"{k}_rows"), F.try_divide(F.sum(F.when(f, n).otherwise(0.0)), F.sum(n)).alias(f"{k}_tokens"))]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *parts)
+
+
+def validation_rollup(df: DataFrame, task: str, level: str, scores: list[str]) -> DataFrame:
+    """Means of the scores by task, by level and over all (null names), each with its number of rows; 'macro' is the mean of the tasks' means."""
+    sets = df.groupingSets([[F.col(task)], [F.col(level)], []], F.col(task), F.col(level)).agg(F.count(F.lit(1)).alias("rows"), *(F.avg(c).alias(c) for c in scores))
+    tasks = df.groupBy(task).agg(*(F.avg(c).alias(c) for c in scores))
+    macro = tasks.agg(F.lit("macro").alias(task), F.lit(None).cast("string").alias(level), F.count(F.lit(1)).alias("rows"), *(F.avg(c).alias(c) for c in scores))
+    return sets.unionByName(macro)
+
+
+REWARDS: dict = {}
+
+
+def register_reward(name: str, function) -> None:
+    """Make a reward known by name: a function (response, truth) -> struct or number Column; a table of rewards can be scored by several."""
+    REWARDS[name] = function
+
+
+def reward_from_file(path: str, function: str = "score"):
+    """The reward function of that name in a Python file of Column expressions."""
+    import runpy
+
+    return runpy.run_path(path)[function]
+
+
+def scored(df: DataFrame, reward: str, response: str, truth: str, out: str = "reward") -> DataFrame:
+    """Adds the registered reward's value."""
+    return df.withColumn(out, REWARDS[reward](F.col(response), F.col(truth)))
+
+
 def value_loss(value: Column, target: Column, old: Column, clip: float) -> Column:
     near = F.greatest(old - clip, F.least(old + clip, value))
     return 0.5 * F.greatest((value - target) * (value - target), (near - target) * (near - target))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.tables import written
+
 from sparkloom.functions.hashing import order_key
 
 
@@ -112,7 +114,8 @@ def modulo_shard(df: DataFrame, order: list[str], n: int) -> DataFrame:
 def global_row_number(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds row_no (from 0) in a total order of the rows."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id") - F.shiftleft(F.col("__p"), 33)).persist()
+    marked = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id") - F.shiftleft(F.col("__p"), 33))
+    marked = written(marked, "ranked")
     sizes = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("before"))
     return marked.join(F.broadcast(offsets), "__p").withColumn("row_no", F.col("before") + F.col("__i")).drop("__id", "__p", "__i", "before")
@@ -120,7 +123,8 @@ def global_row_number(df: DataFrame, order: list[str]) -> DataFrame:
 
 def running_total(df: DataFrame, size: Column, order: list[str], out: str = "total_before") -> DataFrame:
     """Adds the sum of the sizes of all rows before, in a global order, from sums by range partition."""
-    ranged = df.withColumn("__s", size).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist()
+    ranged = df.withColumn("__s", size).repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ranged = written(ranged, "ranged")
     sums = ranged.groupBy("__p").agg(F.sum("__s").alias("n"))
     offsets = sums.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("before"))
     inside = F.sum("__s").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
@@ -237,19 +241,103 @@ def pick_capped(unique: str, label: str, per_label: int, limit: int) -> Callable
 
 
 def diversity_greedy(df: DataFrame, cell: list[str], counters: list[str], score: str, key: str, quota: int) -> DataFrame:
-    """In each cell ``quota`` picks, each the row whose counters have been picked least, then of the best score, then the first key."""
+    """``quota`` picks a cell, cells in order; each pick is the row whose counters have been picked least so far, in any cell, then of the best score, then the first key.
+
+    Rows of a cell that agree in all counters are picked in the order of score,
+    so ``quota`` of them are enough: these alone meet in the one task that a
+    rule with counters across cells needs.
+    """
+    same = Window.partitionBy(*cell, *counters).orderBy(score, key)
+    few = df.withColumn("rank_", F.row_number().over(same)).where(F.col("rank_") <= quota).drop("rank_")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        picked: dict[tuple, int] = {}
+        out = []
+        for _, rows in part.sort_values([*cell, score, key], kind="stable").groupby(cell, sort=True, dropna=False):
+            # a row's place in the queue only falls back as counters grow: what comes up is judged again
+            rank = lambda r: (*(picked.get((c, r[c]), 0) for c in counters), r[score], r[key])
+            queue = [(rank(r), i, r) for i, r in enumerate(rows.to_dict("records"))]
+            heapq.heapify(queue)
+            left = quota
+            while queue and left:
+                was, i, row = heapq.heappop(queue)
+                now = rank(row)
+                if now != was:
+                    heapq.heappush(queue, (now, i, row))
+                    continue
+                out.append(row)
+                left -= 1
+                for c in counters:
+                    picked[c, row[c]] = picked.get((c, row[c]), 0) + 1
+        return pd.DataFrame(out, columns=part.columns)
+
+    return few.groupBy().applyInPandas(run, df.schema)
+
+
+def balanced_targets(counts: dict, total: int) -> dict:
+    """Even shares of ``total``, none above its count; what that leaves is shared again among the others."""
+    out, open_ = dict.fromkeys(counts, 0), sorted(counts)
+    while open_ and total > 0:
+        share = max(1, total // len(open_))
+        for k in open_:
+            more = min(share, counts[k] - out[k], total)
+            out[k], total = out[k] + more, total - more
+        open_ = [k for k in open_ if out[k] < counts[k]]
+    return out
+
+
+def deficit_greedy(df: DataFrame, bins: dict[str, float], owner: str, key: str, total: int, *, rare: dict[str, float] | None = None, penalty: float = 0.35, caps: tuple[int, ...] = (3, 4, 6, 8, 12)) -> DataFrame:
+    """``total`` rows that fill balanced targets of several binned columns, rare bins first, owners capped.
+
+    ``bins`` weighs each column; a row's score is the weighted share of its bins'
+    targets that is still open, less ``penalty`` for each row its owner has. Rows
+    of bins no larger than their targets (weights ``rare``) are taken first, as
+    scored at the start; then rounds under growing owner ``caps`` take the best
+    of those left. Ties go by a hash of the key. One sequential task by contract:
+    rows of one bin combination and owner beyond ``total`` can't be picked and
+    stay out.
+    """
+    same = Window.partitionBy(*bins, owner).orderBy(F.xxhash64(key), key)
+    few = df.withColumn("rank_", F.row_number().over(same)).where(F.col("rank_") <= total).withColumn("rank_", F.xxhash64(key))
+    counts = {c: {r[0]: r[1] for r in df.groupBy(c).count().collect()} for c in bins}
+    targets = {c: balanced_targets(n, total) for c, n in counts.items()}
+    rare = rare or {}
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, picked = part.sort_values([score, key], kind="stable").to_dict("records"), []
-        counts: dict = {}
-        while left and len(picked) < quota:
-            best = min(range(len(left)), key=lambda i: (*(counts.get((c, left[i][c]), 0) for c in counters), left[i][score], left[i][key]))
-            row = left.pop(best)
-            for c in counters:
-                counts[c, row[c]] = counts.get((c, row[c]), 0) + 1
-            picked.append(row)
-        return pd.DataFrame(picked, columns=part.columns)
-
-    return df.groupBy(*cell).applyInPandas(run, df.schema)
+        rows = part.sort_values(["rank_", key], kind="stable").to_dict("records")
+        have, owned, out = {c: {} for c in bins}, {}, []
+
+        def score(r: dict) -> float:
+            open_ = ((w, max(targets[c].get(r[c], 1), 1), have[c].get(r[c], 0)) for c, w in bins.items())
+            return sum(w * max(0.0, (t - h) / t) for w, t, h in open_) - penalty * owned.get(r[owner], 0)
+
+        def take(r: dict) -> None:
+            out.append(r)
+            owned[r[owner]] = owned.get(r[owner], 0) + 1
+            for c in bins:
+                have[c][r[c]] = have[c].get(r[c], 0) + 1
+
+        extra = lambda r: sum(w for c, w in rare.items() if counts[c][r[c]] <= targets[c].get(r[c], 0))
+        first = sorted((r for r in rows if extra(r) > 0), key=lambda r: -(extra(r) + score(r)))[:total]
+        for r in first:
+            take(r)
+        taken = {id(r) for r in first}
+        left = [r for r in rows if id(r) not in taken]
+        for cap in (*caps, len(rows) + 1):
+            while len(out) < total:
+                able = sorted((r for r in left if owned.get(r[owner], 0) < cap), key=lambda r: -score(r))
+                if not able:
+                    break
+                chosen = able[: min(300, total - len(out))]
+                for r in chosen:
+                    take(r)
+                gone = {id(r) for r in chosen}
+                left = [r for r in left if id(r) not in gone]
+        return pd.DataFrame(out, columns=part.columns)[df.columns]
+
+    return few.groupBy().applyInPandas(run, df.schema)
 
 
 def balanced_partitions(df: DataFrame, length: str, key: str, k: int, *, equal_size: bool = False, group: list[str] | None = None) -> DataFrame:

@@ -50,11 +50,16 @@ def suitability() -> Column:
     return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
 
 
-def focus_score(o: Column) -> Column:
-    """How well an object serves as a state's focus."""
+def focus_score(o: Column, salient: list[str] | None = None) -> Column:
+    """How well an object serves as a state's focus: weights of size, a salient name, use, place and distance.
+
+    Any object with a name counts as salient unless ``salient`` names those that do.
+    """
+    stands_out = o["name"].isin(*salient) if salient else F.length(F.trim(o["name"])) > 2
     bias = F.abs(o["center_x_ratio"] - 0.5) + F.abs(o["center_y_ratio"] - 0.5)
-    actionable = (o["pickupable"] | o["openable"] | o["toggleable"]).cast("double")
-    return 4 * o["bbox_area_ratio"] + 0.8 * (o["bbox_area_ratio"] >= PROMINENT).cast("double") + 0.5 * actionable - bias - 0.2 * F.greatest(F.lit(0.0), o["distance"] - 1.5)
+    actionable = (o["pickupable"] | o["moveable"] | o["openable"] | o["toggleable"]).cast("double")
+    # The weights
+    return 4 * o["bbox_area_ratio"] + 0.8 * F.coalesce(stands_out, F.lit(False)).cast("double") + 0.5 * actionable - bias - 0.2 * F.greatest(F.lit(0.0), o["distance"] - 1.5)
 
 
 def with_focus(df: DataFrame, objects: str = "visible_objects") -> DataFrame:

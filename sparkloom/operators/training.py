@@ -96,8 +96,80 @@ def encode_pair(source: Column, target: Column, cutoff: int, *, train_on_prompt:
     return F.struct(F.concat(s, t).alias("input_ids"), F.concat(masked, t).alias("labels"))
 
 
-def pad(ids: Column, n: int, value: int) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(F.lit(n) - F.size(ids), F.lit(0))))
+def encode_turns(turns: Column, cutoff: int, *, mask_history: bool = False) -> Column:
+    """struct(input_ids, labels) of a dialog given as array<struct<source array<int>, target array<int>>>.
+
+    Turns share the budget in order: each is cut to what the turns before it
+    have left, by the rule of a single pair; turns without room left go.
+    Sources are masked, and with ``mask_history`` all targets but the last one.
+    """
+    from sparkloom.functions.numeric import truncation_budget
+
+    zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<int>").alias("labels"))
+    last = F.size(turns) - 1
+    placed = F.transform(turns, lambda t, i: F.struct(t["source"].alias("source"), t["target"].alias("target"), (i == last).alias("last")))
+
+    def step(acc: Column, t: Column) -> Column:
+        room = truncation_budget(F.size(t["source"]), F.size(t["target"]), F.lit(cutoff) - acc["used"])
+        s, r = F.slice(t["source"], F.lit(1), room["source"]), F.slice(t["target"], F.lit(1), room["target"])
+        hidden = lambda x: F.transform(x, lambda _: F.lit(IGNORE))
+        told = F.when(t["last"], r).otherwise(hidden(r)) if mask_history else r
+        grown = F.struct((acc["used"] + F.size(s) + F.size(r)).alias("used"), F.concat(acc["ids"], s, r).alias("ids"), F.concat(acc["labels"], hidden(s), told).alias("labels"))
+        return F.when(acc["used"] < cutoff, grown).otherwise(acc)
+
+    return F.aggregate(placed, zero, step, lambda acc: F.struct(acc["ids"].alias("input_ids"), acc["labels"].alias("labels")))
+
+
+def encode_preference(prompt: Column, chosen: Column, rejected: Column, cutoff: int) -> Column:
+    """struct(chosen_input_ids, chosen_labels, rejected_input_ids, rejected_labels): both answers cut by the longer one's budget, the prompt alike."""
+    from sparkloom.functions.numeric import truncation_budget
+
+    budget = truncation_budget(F.size(prompt), F.greatest(F.size(chosen), F.size(rejected)), F.lit(cutoff))
+    p = F.slice(prompt, F.lit(1), budget["source"])
+    cut = lambda x: F.slice(x, F.lit(1), budget["target"])
+    hidden = F.transform(p, lambda _: F.lit(IGNORE))
+    sides = (("chosen", cut(chosen)), ("rejected", cut(rejected)))
+    return F.struct(*(x for name, a in sides for x in (F.concat(p, a).alias(f"{name}_input_ids"), F.concat(hidden, a).alias(f"{name}_labels"))))
+
+
+def encode_feedback(df: DataFrame, group: str, order: str, prompt: str, answer: str, tag: str, cutoff: int) -> DataFrame:
+    """Adds pair and kl_pair (struct(input_ids, labels)): the answer, and for the divergence the previous row's answer in the group; the first row's is the last one's."""
+    w = Window.partitionBy(group).orderBy(order)
+    whole = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.coalesce(F.lag(answer).over(w), F.last(answer).over(whole))
+    paired = df.withColumn("other_", other)
+    return paired.withColumn("pair", encode_pair(F.col(prompt), F.col(answer), cutoff)).withColumn("kl_pair", encode_pair(F.col(prompt), F.col("other_"), cutoff)).withColumn("tag", F.col(tag).cast("boolean")).drop("other_")
+
+
+def collate(df: DataFrame, batch: str, key: str, ids: str, labels: str, *, pad_id: int = 0, multiple: int = 8) -> DataFrame:
+    """Rows of a batch padded to its longest, up to a ``multiple``: input_ids, labels, attention_mask."""
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    width = (F.ceil(longest / multiple) * multiple).cast("int")
+    ones = F.transform(ids, lambda _: F.lit(1))
+    return df.withColumn("width_", width).select(batch, key, pad(F.col(ids), F.col("width_"), pad_id).alias("input_ids"), pad(F.col(labels), F.col("width_"), IGNORE).alias("labels"), pad(ones, F.col("width_"), 0).alias("attention_mask"))
+
+
+def collate_preference(df: DataFrame, batch: str, key: str, pair: str, **settings: int) -> DataFrame:
+    """As collate, with every pair's chosen row in the batch's first half and its rejected one in the second: column side is 0 or 1."""
+    sides = [df.select(batch, key, F.lit(i).alias("side"), F.col(f"{pair}.{n}_input_ids").alias("ids"), F.col(f"{pair}.{n}_labels").alias("labels")) for i, n in enumerate(("chosen", "rejected"))]
+    both = sides[0].unionByName(sides[1]).withColumn("key_", F.struct("side", key))
+    return collate(both, batch, "key_", "ids", "labels", **settings).select(batch, F.col(f"key_.{key}").alias(key), F.col("key_.side").alias("side"), "input_ids", "labels", "attention_mask")
+
+
+def block_mask(segments: Column) -> Column:
+    """array<array<int>>: 1 where a token may look at another: of the same segment (not 0) and not after it."""
+    return F.transform(segments, lambda x, i: F.transform(segments, lambda y, j: ((x == y) & (x != 0) & (j <= i)).cast("int")))
+
+
+def pair_feedback(turns: Column, chosen: Column, rejected: Column) -> Column:
+    """struct(chosen, rejected) of messages with loss weights: the common turns with weight 0, then either answer with weight 1."""
+    common = F.transform(turns, lambda t: F.struct(t["from"].alias("role"), t["value"].alias("content"), F.lit(0.0).alias("loss_weight")))
+    end = lambda x: F.concat(common, F.array(F.struct(F.lit("gpt").alias("role"), x.alias("content"), F.lit(1.0).alias("loss_weight"))))
+    return F.struct(end(chosen).alias("chosen"), end(rejected).alias("rejected"))
+
+
+def pad(ids: Column, n: int | Column, value: int) -> Column:
+    return F.concat(ids, F.array_repeat(F.lit(value), F.greatest((n if isinstance(n, Column) else F.lit(n)) - F.size(ids), F.lit(0))))
 
 
 def greedy_pack(lengths: list[int], capacity: int) -> list[int]:

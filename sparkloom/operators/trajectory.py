@@ -152,38 +152,47 @@ def rdp(points: np.ndarray, eps: float) -> np.ndarray:
 
 
 def drop_short_segments(points: np.ndarray, least: float) -> np.ndarray:
-    """Inner points go, one after the other, while the shortest segment is below ``least``."""
-    points = [tuple(p) for p in points]
-    while len(points) > 2:
-        sizes = [math.dist(a, b) for a, b in zip(points[:-1], points[1:], strict=True)]
-        k = min(range(len(sizes)), key=sizes.__getitem__)
-        if sizes[k] >= least:
-            break
-        del points[k if k > 0 and (k + 1 == len(points) - 1 or sizes[k - 1] <= sizes[min(k + 1, len(sizes) - 1)]) else k + 1]
-    return np.array(points)
+    """Inner points too near the one kept before them go; then, while more than three are left, those with a short segment on either side.
+
+    A pass judges all inner points, each against the last one that the pass has
+    kept and against the one that follows; passes go on until one drops nothing.
+    """
+    def thinned(line: list[tuple], ahead: bool) -> list[tuple]:
+        kept = [line[0]]
+        for here, following in zip(line[1:-1], line[2:], strict=True):
+            if math.dist(here, kept[-1]) >= least and not (ahead and math.dist(following, here) < least):
+                kept.append(here)
+        return [*kept, line[-1]]
+
+    line = [tuple(p) for p in points]
+    if len(line) > 2:
+        line, before = thinned(line, False), 0
+        while len(line) > 3 and len(line) != before:
+            before, line = len(line), thinned(line, True)
+    return np.array(line, float)
 
 
 def shape_of(points: np.ndarray, *, eps: float = 0.35, least_move: float = 1.2, straight: float = 1.28, simple: float = 2.65, segment: float = 0.55, low: float = 32, high: float = 132) -> tuple[str | None, str | None, int]:
     """(label, reason it has none, turns): straight, left, right, or two turns in order such as left_then_right."""
-    length = float(np.hypot(*np.diff(points, axis=0).T).sum()) if len(points) > 1 else 0.0
     chord = math.dist(points[0], points[-1])
-    if length < least_move:
-        return None, "too_short", 0
-    corners = drop_short_segments(points[rdp(points, eps)], segment)
-    steps = np.diff(corners, axis=0)
+    if chord < least_move:
+        return None, "too_little_translation", 0
+    ratio = float(np.hypot(*np.diff(points, axis=0).T).sum()) / chord
+    steps = np.diff(drop_short_segments(points[rdp(points, eps)], segment), axis=0)
+    if len(steps) > 1 and (np.hypot(*steps.T) < segment).any():
+        return None, "short_segment", 0
     heading = np.degrees(np.arctan2(steps[:, 1], steps[:, 0]))
     turns = (np.diff(heading) + 180) % 360 - 180
     clear = turns[np.abs(turns) >= low]
-    if len(clear) == 0:
-        return ("straight", None, 0) if chord > 1e-9 and length / chord <= straight else (None, "not_straight", 0)
     if (np.abs(clear) > high).any():
-        return None, "sharp_turn", len(clear)
+        return None, "sharp_turn", int((np.abs(clear) > high).argmax()) + 1
+    if not len(clear):
+        return ("straight", None, 0) if ratio <= straight else (None, "straight_but_curvy" if len(steps) == 1 else "no_clear_turn", 0)
     if len(clear) > 2:
         return None, "too_many_turns", len(clear)
-    if chord <= 1e-9 or length / chord > simple:
-        return None, "not_simple", len(clear)
-    names = ["left" if t > 0 else "right" for t in clear]
-    return "_then_".join(names), None, len(clear)
+    if ratio > simple:
+        return None, "too_loopy", len(clear)
+    return "_then_".join("left" if t > 0 else "right" for t in clear), None, len(clear)
 
 
 def path_shapes(df: DataFrame, scene: str, order: str, x: str, y: str, **parameters: float) -> DataFrame:
@@ -227,33 +236,50 @@ def resample(df: DataFrame, scene: str, frame: str, gap: int) -> DataFrame:
     return df.groupBy(scene).applyInPandas(run, df.schema)
 
 
-def greedy_segments(labels: list[str | None], least: int) -> list[tuple[int, int, str | None]]:
-    """(first, last, label) of a timeline: runs of equal labels of ``least`` steps or more, what lies between them without a label."""
+def pure_window(steps: np.ndarray, first: int, *, least: int = 2, most: int = 8, purity: float = 0.8) -> tuple[int, str, float, float] | None:
+    """(steps, label, value, purity) of the best pure window from ``first`` on: the longest, then the one that moves most, then the purest.
+
+    ``steps`` has a column for each axis. A window's value is its largest sum
+    along an axis, signed in the label (axis0+, axis1-, ...); its purity the
+    share of that in all movement. ``least`` to ``most`` steps count.
+    """
+    best = None
+    for last in range(first + least, min(len(steps), first + most) + 1):
+        part = steps[first:last]
+        sums, every = part.sum(0), float(np.abs(part).sum())
+        axis = int(np.abs(sums).argmax())
+        value = float(abs(sums[axis]))
+        if every > 0 and value / every >= purity:
+            best = max(best or (0, "", 0.0, 0.0), (last - first, f"axis{axis}{'+' if sums[axis] > 0 else '-'}", value, value / every), key=lambda w: (w[0], w[2], w[3]))
+    return best
+
+
+def greedy_segments(steps: np.ndarray, *, most_impure: int = 6, **window: float) -> list[tuple[int, int, str | None]]:
+    """(first, past the last, label) of a timeline of steps: the best pure window where one begins; else, without a label, what lies before the next that does, ``most_impure`` steps at most."""
     out: list[tuple[int, int, str | None]] = []
-    i = 0
-    while i < len(labels):
-        j = i
-        while j + 1 < len(labels) and labels[j + 1] == labels[i]:
-            j += 1
-        label = labels[i] if labels[i] is not None and j - i + 1 >= least else None
-        if out and out[-1][2] is None and label is None:
-            out[-1] = (out[-1][0], j, None)
+    at = 0
+    while at < len(steps):
+        found = pure_window(steps, at, **window)
+        if found:
+            end, label = at + found[0], found[1]
         else:
-            out.append((i, j, label))
-        i = j + 1
+            ahead = range(at + 1, min(len(steps), at + most_impure) + 1)
+            end, label = next((i for i in ahead if pure_window(steps, i, **window)), ahead[-1]), None
+        out.append((at, end, label))
+        at = end
     return out
 
 
-def segment_timeline(df: DataFrame, scene: str, order: str, label: str, least: int) -> DataFrame:
-    """(scene, first, last, label): pure and mixed segments of each scene."""
+def segment_timeline(df: DataFrame, scene: str, order: str, axes: list[str], **rule: float) -> DataFrame:
+    """(scene, first, last, label): pure and impure segments of each scene, by the slots of their first and last steps."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
-        marks = [None if pd.isna(v) else v for v in part[label]]
         slots = part[order].tolist()
-        return pd.DataFrame([(part[scene].iloc[0], slots[a], slots[b], v) for a, b, v in greedy_segments(marks, least)], columns=[scene, "first", "last", "label"])
+        found = greedy_segments(part[axes].to_numpy(float), **rule)
+        return pd.DataFrame([(part[scene].iloc[0], slots[a], slots[b - 1], v) for a, b, v in found], columns=[scene, "first", "last", "label"])
 
     kind = df.schema[order].dataType.simpleString()
-    return df.select(scene, order, label).groupBy(scene).applyInPandas(run, f"`{scene}` {df.schema[scene].dataType.simpleString()}, first {kind}, last {kind}, label string")
+    return df.select(scene, order, *axes).groupBy(scene).applyInPandas(run, f"`{scene}` {df.schema[scene].dataType.simpleString()}, first {kind}, last {kind}, label string")
 
 
 def umeyama(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -261,9 +287,10 @@ def umeyama(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray,
     a, b = source - source.mean(0), target - target.mean(0)
     u, s, vt = np.linalg.svd(b.T @ a / len(a))
     flip = np.eye(len(s))
-    flip[-1, -1] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    flip[-1, -1] = -1.0 if np.linalg.det(u) * np.linalg.det(vt) < 0 else 1.0
     rotation = u @ flip @ vt
-    scale = float((s * np.diag(flip)).sum() / (a**2).sum() * len(a))
+    spread = float((a**2).sum()) / len(a)
+    scale = float((s * np.diag(flip)).sum()) / spread if spread > 1e-12 else 1.0
     return scale, rotation, target.mean(0) - scale * rotation @ source.mean(0)
 
 

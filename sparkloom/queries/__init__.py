@@ -27,6 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from sparkloom.queries import curation, facts, joins, questions, rewards, series, training  # noqa: F401
+    from sparkloom.queries import curation, facts, joins, questions, rewards, series, tokens, training  # noqa: F401
 
     return QUERIES, ORACLE_SQL

@@ -312,10 +312,10 @@ def preflight_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, upper(list_last(regexp_extract_all(t, '(?i)(?:answer|option|choice)\s*(?:is|:|=)\s*([A-E])\b', 1))) AS letter
-FROM (SELECT doc_id, 'Answer: ' || substr('ABCDE', 1 + (doc_id % 5)::INTEGER, 1) || ' then ' || left(text, 50) || ' option = ' || substr('abcdexyz', 1 + (doc_id % 8)::INTEGER, 1) AS t FROM documents)""")
+FROM (SELECT doc_id, 'Answer: ' || substr('ABCDE', 1 + (doc_id % 5)::INTEGER, 1) || ' then ' || coalesce(text, '') || ' option = ' || substr('abcdexyz', 1 + (doc_id % 8)::INTEGER, 1) AS t FROM documents)""")
 def choice_letter_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    t = F.concat(F.lit("Answer: "), F.substring(F.lit("ABCDE"), 1 + i % 5, F.lit(1)), F.lit(" then "), F.left("text", F.lit(50)), F.lit(" option = "), F.substring(F.lit("abcdexyz"), 1 + i % 8, F.lit(1)))
+    t = F.concat(F.lit("Answer: "), F.substring(F.lit("ABCDE"), 1 + i % 5, F.lit(1)), F.lit(" then "), F.coalesce("text", F.lit("")), F.lit(" option = "), F.substring(F.lit("abcdexyz"), 1 + i % 8, F.lit(1)))
     return table(spark, sf_dir, "documents").select("doc_id", choice_letter(t).alias("letter"))
 
 
@@ -351,13 +351,11 @@ def stable_option_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, sha1(source || '/' || lang) AS id, row_number() OVER (ORDER BY sha1('42:' || doc_id), doc_id) AS place FROM documents QUALIFY place <= 200""")
+SELECT doc_id, sha1(source || '/' || lang) AS id, row_number() OVER (ORDER BY sha1('42:' || doc_id), doc_id) AS place FROM documents""")
 def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", stable_id(F.concat_ws("/", "source", "lang")).alias("id"))
-    first = docs.orderBy(order_key(42, F.col("doc_id")), "doc_id").limit(200)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(order_key(42, F.col("doc_id")), "doc_id")).cast("long"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", stable_id(F.concat_ws("/", "source", "lang")).alias("id"), order_key(42, F.col("doc_id")).alias("order_"))
+    placed = select.global_row_number(docs, ["order_", "doc_id"])
+    return placed.select("doc_id", "id", (F.col("row_no") + 1).cast("long").alias("place"))
 
 
 @query("""
@@ -387,7 +385,10 @@ def capped_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.capped_with_backfill(part, "p_type", [F.col("p_partkey")], {"ECONOMY": 20, "SMALL": 5}, 40, "p_partkey")
 
 
-@query()
+@query("""
+WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT count(*) AS k FROM n), q AS (SELECT lang, n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM n),
+g AS (SELECT lang, n, i, unnest(range(1, n + 1)) AS round FROM q), p AS (SELECT lang, row_number() OVER (ORDER BY round, i) AS taken FROM g), w AS (SELECT lang, count(*) AS quota FROM p WHERE taken <= 400 GROUP BY 1)
+SELECT d.doc_id, d.lang FROM documents d JOIN w ON d.lang IS NOT DISTINCT FROM w.lang QUALIFY row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id) <= any_value(w.quota) OVER (PARTITION BY d.lang)""")
 def balanced_quota_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.capped_balanced(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", [F.col("doc_id")], 400)
 

@@ -33,11 +33,11 @@ def curation_drop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SLOTS}, c AS (SELECT user_id, sum(abs(value)) OVER (PARTITION BY user_id ORDER BY slot) AS run, sum(abs(value)) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS n FROM s WHERE slot < 12),
+WITH {SLOTS}, c AS (SELECT user_id, sum(abs(value)) OVER (PARTITION BY user_id ORDER BY slot) AS run, sum(abs(value)) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS n FROM s),
 f AS (SELECT user_id, count(*) FILTER (WHERE run < total / 2) / greatest(any_value(n) - 1, 1)::DOUBLE AS f FROM c GROUP BY 1), r AS (SELECT user_id, f, abs(f * 4 - round(f * 4)) / 4 < 0.05 AND round(f * 4) BETWEEN 1 AND 3 AS near FROM f)
 SELECT user_id, CASE WHEN NOT near THEN least(3, floor(f * 4))::INTEGER END AS quarter, CASE WHEN near THEN 'near_border' END AS reason FROM r""")
 def main_turn_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = slots(spark, sf_dir).where("slot < 12").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "value"))), lambda r: r["value"]).alias("turns"))
+    s = slots(spark, sf_dir).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "value"))), lambda r: r["value"]).alias("turns"))
     return qa.main_turn_rows(s, "turns", 0.05).select("user_id", "quarter", "reason")
 
 

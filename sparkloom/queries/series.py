@@ -11,6 +11,7 @@ from sparkloom.functions.numeric import direction8, point_line_distance, world_t
 from sparkloom.operators import select, state, trajectory
 from sparkloom.queries import query, table
 from sparkloom.streaming import streams
+from sparkloom.tables import shared_folder
 
 SLOTS = """s AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS slot, event_id, event_type, value,
  CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN -1.0 ELSE 0.0 END::DOUBLE * (1 + event_id % 3) AS dx, CASE event_type WHEN 'error' THEN 1.0 WHEN 'signup' THEN -1.0 ELSE 0.0 END::DOUBLE * (1 + event_id % 2) AS dy FROM events),
@@ -81,10 +82,10 @@ def event_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SLOTS}, c AS (SELECT user_id, slot, abs(value) AS v, sum(abs(value)) OVER (PARTITION BY user_id ORDER BY slot) AS run, sum(abs(value)) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS n FROM s WHERE slot < 12)
+WITH {SLOTS}, c AS (SELECT user_id, slot, abs(value) AS v, sum(abs(value)) OVER (PARTITION BY user_id ORDER BY slot) AS run, sum(abs(value)) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS n FROM s)
 SELECT user_id, least(3, floor(count(*) FILTER (WHERE run < total / 2) / greatest(any_value(n) - 1, 1)::DOUBLE * 4))::INTEGER AS quarter FROM c GROUP BY user_id""")
 def turn_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = slots(spark, sf_dir).where("slot < 12").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "value"))), lambda r: r["value"]).alias("turns"))
+    s = slots(spark, sf_dir).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "value"))), lambda r: r["value"]).alias("turns"))
     return s.select("user_id", trajectory.turn_fraction(F.col("turns"))["quarter"].alias("quarter"))
 
 
@@ -109,7 +110,7 @@ def path_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def timeline_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.segment_timeline(slots(spark, sf_dir), "user_id", "slot", "event_type", 2)
+    return trajectory.segment_timeline(slots(spark, sf_dir), "user_id", "slot", ["dx", "dy"], least=2, most=8, purity=0.75)
 
 
 @query()
@@ -176,10 +177,10 @@ def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SLOTS}, d AS (SELECT user_id, slot, abs(x) + abs(y) AS dist FROM p WHERE slot < 6), e AS (SELECT *, dist - lag(dist) OVER (PARTITION BY user_id ORDER BY slot) AS st FROM d)
+WITH {SLOTS}, d AS (SELECT user_id, slot, abs(x) + abs(y) AS dist FROM p), e AS (SELECT *, dist - lag(dist) OVER (PARTITION BY user_id ORDER BY slot) AS st FROM d)
 SELECT user_id, arg_max(dist, slot) <= arg_min(dist, slot) - 0.2 AND coalesce(bool_and(st <= 0.15), true) AS ok FROM e GROUP BY 1""")
 def route_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = slots(spark, sf_dir).where("slot < 6").withColumn("dist", F.abs("x") + F.abs("y"))
+    s = slots(spark, sf_dir).withColumn("dist", F.abs("x") + F.abs("y"))
     return state.progression_ok(s, "user_id", "slot", "dist")
 
 
@@ -193,24 +194,24 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SLOTS}, o AS (SELECT user_id AS state_id, slot AS object_id, event_type AS object_type, (event_id % 50) / 10.0::DOUBLE AS distance, (event_id % 97) / 97.0::DOUBLE AS x, (event_id % 53) / 53.0::DOUBLE AS y FROM s WHERE slot < 8)
+WITH {SLOTS}, o AS (SELECT user_id AS state_id, slot AS object_id, event_type AS object_type, (event_id % 50) / 10.0::DOUBLE AS distance, (event_id % 97) / 97.0::DOUBLE AS x, (event_id % 53) / 53.0::DOUBLE AS y FROM s)
 SELECT a.state_id, a.object_id AS a_object_id, b.object_id AS b_object_id FROM o a JOIN o b ON a.state_id = b.state_id AND a.object_id <> b.object_id
 WHERE b.distance - a.distance >= 0.8 AND a.distance <= 2.6 AND b.distance <= 5 AND abs(a.x - b.x) <= 0.45 AND abs(a.y - b.y) <= 0.3
 QUALIFY row_number() OVER (PARTITION BY a.state_id ORDER BY b.distance - a.distance DESC, a.object_id, b.object_id) <= 10""")
 def object_depth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    o = slots(spark, sf_dir).where("slot < 8").select(F.lit("s").alias("scene"), F.col("user_id").alias("state_id"), F.col("slot").alias("object_id"), F.col("event_type").alias("object_type"), ((e % 50) / 10.0).alias("distance"), ((e % 97) / 97.0).alias("x"), ((e % 53) / 53.0).alias("y"))
+    o = slots(spark, sf_dir).select(F.lit("s").alias("scene"), F.col("user_id").alias("state_id"), F.col("slot").alias("object_id"), F.col("event_type").alias("object_type"), ((e % 50) / 10.0).alias("distance"), ((e % 97) / 97.0).alias("x"), ((e % 53) / 53.0).alias("y"))
     return state.object_pairs(o, "depth", 10).select("state_id", "a_object_id", "b_object_id")
 
 
 @query(f"""
-WITH {SLOTS}, o AS (SELECT user_id AS state_id, slot, event_type, (event_id % 50) / 10.0::DOUBLE AS d, (event_id % 40) / 1000.0::DOUBLE AS area, (event_id % 97) / 97.0::DOUBLE AS cx FROM s WHERE slot < 10)
+WITH {SLOTS}, o AS (SELECT user_id AS state_id, slot, event_type, (event_id % 50) / 10.0::DOUBLE AS d, (event_id % 40) / 1000.0::DOUBLE AS area, (event_id % 97) / 97.0::DOUBLE AS cx FROM s)
 SELECT state_id, count(*) AS n_visible, round(count(*) FILTER (WHERE d < 0.8) / count(*)::DOUBLE, 6) AS near_share, count(*) FILTER (WHERE d >= 1.2) AS n_far, count(*) FILTER (WHERE area >= 0.010) AS n_good_box, count(*) FILTER (WHERE area >= 0.018) AS n_prominent, round(max(d) - min(d), 6) AS distance_spread FROM o GROUP BY 1""")
 def state_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     no = F.lit(False)
     o = F.struct(F.col("slot").cast("string").alias("object_id"), F.col("event_type").alias("object_type"), F.col("event_type").alias("name"), ((e % 50) / 10.0).alias("distance"), no.alias("pickupable"), no.alias("moveable"), no.alias("openable"), no.alias("toggleable"), ((e % 40) / 1000.0).alias("bbox_area_ratio"), ((e % 97) / 97.0).alias("center_x_ratio"), F.lit(0.5).alias("center_y_ratio"))
-    s = slots(spark, sf_dir).where("slot < 10").groupBy(F.col("user_id").alias("state_id")).agg(F.collect_list(o).alias("visible_objects"))
+    s = slots(spark, sf_dir).groupBy(F.col("user_id").alias("state_id")).agg(F.collect_list(o).alias("visible_objects"))
     m = state.state_metrics(s)
     return m.select("state_id", *(F.col(c).cast("long").alias(c) for c in ("n_visible", "n_far", "n_good_box", "n_prominent")), F.round("near_share", 6).alias("near_share"), F.round("distance_spread", 6).alias("distance_spread"))
 
@@ -237,7 +238,7 @@ def _is_folder(spark: SparkSession, sf_dir: str) -> bool:
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = shared_folder(spark)
     tag = uuid.uuid4().hex
     return f"{base}/{name}-{tag}", f"{base}/{name}-{tag}-log"
 

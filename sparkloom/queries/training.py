@@ -32,7 +32,7 @@ def sharegpt_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT doc_id, 3 AS n_prompt, md5(CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || lang ELSE source END) AS query FROM documents""")
 def alpaca_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("input"), F.left("text", F.lit(20)).alias("output"), F.array(F.array(F.lit("q"), F.lit("a"))).alias("history"), F.lit("").alias("system"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("input"), F.col("text").alias("output"), F.array(F.array(F.lit("q"), F.lit("a"))).alias("history"), F.lit("").alias("system"))
     out = training.align(docs, "alpaca")
     return out.select("doc_id", F.size("prompt").alias("n_prompt"), F.md5(F.element_at("prompt", -1)["content"].cast("binary")).alias("query"))
 
