@@ -53,9 +53,8 @@ def json_block(c: Column) -> Column:
 
 
 def canonical_json(c: Column) -> Column:
-    """A flat JSON object with its keys sorted; other texts as they are."""
-    fields = json_map(c)
-    return F.coalesce(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(fields)))), c)
+    """A JSON object with its keys sorted at every depth, values and their types as they are; other texts as they are."""
+    return F.coalesce(F.when(F.trim(c).startswith("{"), F.to_json(F.try_parse_json(c))), c)
 
 
 def prediction(response: Column) -> Column:
@@ -75,7 +74,7 @@ def prediction(response: Column) -> Column:
     )
     fields = F.regexp_extract_all(text, F.lit(r'(?i)"?(?:choice|straight|angle|path)"?\s*:\s*"?[A-E]\b'), F.lit(0))
     entries = F.transform(fields, lambda m: F.struct(F.lower(F.regexp_extract(m, r"([A-Za-z]+)", 1)).alias("key"), F.upper(F.regexp_extract(m, r'(?i):\s*"?([A-E])', 1)).alias("value")))
-    lasting = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(64)), lambda later: later["key"] == e["key"]))
+    lasting = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     loose_value = _some(F.regexp_extract(text, rf'(?i)"?(?:value|value_m|distance_m)"?\s*:\s*({NUMBER})', 1))
     loose = F.coalesce(one("value", F.when(F.size(entries) == 0, loose_value)), F.map_from_entries(lasting))
     tagged = F.coalesce(json_map(text), one("choice", whole(text)), one("value", F.when(text.rlike(rf"\A{NUMBER}\z"), text)), loose)

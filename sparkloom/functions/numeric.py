@@ -111,3 +111,28 @@ def camera_centre(m: Column) -> Column:
     """-R' t of a world-to-camera matrix given as array<array<double>> of 3 or 4 rows."""
     at = lambda i, j: m[i][j]
     return F.array(*(-(at(0, j) * at(0, 3) + at(1, j) * at(1, 3) + at(2, j) * at(2, 3)) for j in range(3)))
+
+
+def axis_angle_matrix(axis: list[Column], angle: Column) -> Column:
+    """Row-major 3x3 rotation about an axis (of any length but 0) by an angle in radians."""
+    size = F.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+    half = angle / 2
+    return quaternion_matrix(F.cos(half), *(a / size * F.sin(half) for a in axis))
+
+
+def rotation_vector_matrix(v: list[Column]) -> Column:
+    """Row-major 3x3 rotation of a rotation vector; the identity for the zero vector."""
+    size = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    one = F.array(*(F.array(*(F.lit(float(i == j)) for j in range(3))) for i in range(3)))
+    return F.when(size < 1e-12, one).otherwise(axis_angle_matrix(v, size))
+
+
+def rotation_angle(m: Column) -> Column:
+    """The angle of a 3x3 rotation, in degrees."""
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0][0] + m[1][1] + m[2][2] - 1) / 2))))
+
+
+def heading_elevation(forward: list[Column]) -> Column:
+    """struct(heading, elevation) in degrees of a direction (x, y up, z): 0 along z, clockwise."""
+    x, y, z = forward
+    return F.struct(F.degrees(F.atan2(x, z)).alias("heading"), F.degrees(F.atan2(y, F.hypot(x, z))).alias("elevation"))

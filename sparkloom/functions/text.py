@@ -106,3 +106,17 @@ def clean_question(c: Column) -> Column:
     """A question without media tags and without instructions on the answer's format."""
     bare = F.regexp_replace(c, r"(?i)<(?:image|video)>", "")
     return collapse_spaces(F.regexp_replace(bare, r"(?i)(?:please\s+)?answer\s+(?:with|using)\s+[^.\n]*\.?", ""))
+
+
+def frame_range(c: Column) -> Column:
+    """struct(first, last) of 'frames 3-17', 'frame 5 to 9' or '[03-17]'; a single 'frame 5' is both ends; null without any."""
+    span = r"(?i)(?:frames?\s*)?\[?(\d+)\s*(?:-|to|through)\s*(\d+)\]?"
+    alone = r"(?i)\bframe\s*#?(\d+)"
+    a, b, one = (F.nullif(F.regexp_extract(c, p, i), F.lit("")).cast("long") for p, i in ((span, 1), (span, 2), (alone, 1)))
+    return F.when(a.isNotNull(), F.struct(a.alias("first"), b.alias("last"))).when(one.isNotNull(), F.struct(one.alias("first"), one.alias("last")))
+
+
+def option_lines(c: Column) -> Column:
+    """array<struct<label,text>> of lines such as 'A. text', 'B) text' or '(C) text'."""
+    line = r"(?m)^\s*\(?([A-H])[.):]\s*(.+?)\s*$"
+    return F.transform(F.regexp_extract_all(c, F.lit(line), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, line, 1).alias("label"), F.regexp_extract(m, line, 2).alias("text")))

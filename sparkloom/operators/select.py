@@ -164,14 +164,34 @@ def even_slots(n: Column, k: int) -> Column:
     return F.when(n <= k, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int"))).otherwise(F.array_distinct(at))
 
 
-def resample(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
-    """n rows: a hash order repeated whole as often as it fits, and its beginning."""
+def resample(df: DataFrame, key: str, n: int, seed: int | str, weight: Column | None = None) -> DataFrame:
+    """n rows: a hash order, or its beginning; beyond the table's size, further ones drawn with replacement. Adds copy_no from 1.
+
+    The j-th further draw takes the row where a hash of seed and j falls on the
+    rows laid end to end in hash order, each as wide as its ``weight`` (1 unless
+    given; with weights all n are such draws). Draws meet rows by ranges of
+    their places, so no row order is held in one task.
+    """
     total = df.count()
     if not total:
         return df.withColumn("copy_no", F.lit(1))
-    times = -(-n // total)
-    copies = df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    return copies.orderBy("copy_no", order_key(seed, F.col(key)), key).limit(n)
+    hashed = df.withColumn("order_", order_key(seed, F.col(key)))
+    whole = 0 if weight is not None else min(n, total)
+    placed = running_total(hashed, F.lit(1) if weight is None else weight, ["order_", key], "from_")
+    placed = written(placed.withColumn("to_", F.col("from_") + (F.lit(1) if weight is None else weight)), "resample")
+    first = placed.where(F.col("from_") < whole).withColumn("copy_no", F.lit(1)) if whole else None
+    out = first
+    if n > whole:
+        spark, end = df.sparkSession, placed.agg(F.max("to_")).first()[0]
+        unit = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.lit("draw"), F.col("id")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+        draws = spark.range(whole, n).select(F.col("id").cast("string").alias("id")).select((unit * F.lit(float(end))).alias("at_")).groupBy(F.floor("at_").alias("cell_"), "at_").count()
+        cells = placed.withColumn("cell_", F.explode(F.sequence(F.floor("from_"), F.greatest(F.floor("from_"), F.ceil("to_") - 1))))
+        hit = cells.join(draws, "cell_").where("at_ >= from_ and at_ < to_")
+        counts = hit.groupBy(key, "from_").agg(F.sum("count").alias("times_"))
+        again = placed.join(counts, [key, "from_"]).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
+        again = again.drop("times_").withColumn("copy_no", F.col("copy_no") + (1 if whole else 0))
+        out = again if first is None else first.unionByName(again)
+    return out.select(*df.columns, "copy_no")
 
 
 def hash_split(df: DataFrame, key: Column, seed: int | str, val_fraction: float, out: str = "split") -> DataFrame:
@@ -288,14 +308,14 @@ def balanced_targets(counts: dict, total: int) -> dict:
     return out
 
 
-def deficit_greedy(df: DataFrame, bins: dict[str, float], owner: str, key: str, total: int, *, rare: dict[str, float] | None = None, penalty: float = 0.35, caps: tuple[int, ...] = (3, 4, 6, 8, 12)) -> DataFrame:
+def deficit_greedy(df: DataFrame, bins: dict[str, float], owner: str, key: str, total: int, *, rare: dict[str, float] | None = None, penalty: float = 0.35, caps: tuple[int, ...] = (3, 4, 6, 8, 12), batch: int = 300) -> DataFrame:
     """``total`` rows that fill balanced targets of several binned columns, rare bins first, owners capped.
 
     ``bins`` weighs each column; a row's score is the weighted share of its bins'
     targets that is still open, less ``penalty`` for each row its owner has. Rows
     of bins no larger than their targets (weights ``rare``) are taken first, as
     scored at the start; then rounds under growing owner ``caps`` take the best
-    of those left. Ties go by a hash of the key. One sequential task by contract:
+    ``batch`` of those left, scored when the round begins, again and again. Ties go by a hash of the key. One sequential task by contract:
     rows of one bin combination and owner beyond ``total`` can't be picked and
     stay out.
     """
@@ -330,14 +350,15 @@ def deficit_greedy(df: DataFrame, bins: dict[str, float], owner: str, key: str,
                 able = sorted((r for r in left if owned.get(r[owner], 0) < cap), key=lambda r: -score(r))
                 if not able:
                     break
-                chosen = able[: min(300, total - len(out))]
+                chosen = able[: min(batch, total - len(out))]
                 for r in chosen:
                     take(r)
                 gone = {id(r) for r in chosen}
                 left = [r for r in left if id(r) not in gone]
-        return pd.DataFrame(out, columns=part.columns)[df.columns]
+        return pd.DataFrame(out, columns=part.columns)[names]
 
-    return few.groupBy().applyInPandas(run, df.schema)
+    names, schema = df.columns, df.schema
+    return few.groupBy().applyInPandas(run, schema)
 
 
 def balanced_partitions(df: DataFrame, length: str, key: str, k: int, *, equal_size: bool = False, group: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.select import global_row_number
+
 
 def union_sources(sources: dict[str, DataFrame], key: str = "id") -> DataFrame:
     """All rows with their source; an id seen in an earlier source gets 'source:' before it.
@@ -28,8 +30,9 @@ def interleave(sources: dict[str, DataFrame], weights: dict[str, float], order:
     """Rows of all sources, a source's i-th at place i / weight; cut where the first source runs out, or not at all."""
     parts = []
     for name, df in sources.items():
-        rank = F.row_number().over(Window.orderBy(*order))
-        parts.append(df.withColumn("source", F.lit(name)).withColumn("place", rank / F.lit(float(weights[name]))))
+        keyed = df.withColumns({f"order_{i}": c for i, c in enumerate(order)})
+        ranked = global_row_number(keyed, [f"order_{i}" for i in range(len(order))])
+        parts.append(ranked.withColumn("source", F.lit(name)).withColumn("place", (F.col("row_no") + 1) / F.lit(float(weights[name]))).drop("row_no", *(f"order_{i}" for i in range(len(order)))))
     both = reduce(lambda a, b: a.unionByName(b), parts)
     if stop == "first_exhausted":
         ends = both.groupBy("source").agg(F.max("place").alias("end")).agg(F.min("end").alias("cut"))

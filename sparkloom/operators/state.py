@@ -183,5 +183,7 @@ def position_grid(df: DataFrame, yaws: list[int], horizons: list[int]) -> DataFr
 
 def group_scores(df: DataFrame, position: str, score: str, key: str) -> DataFrame:
     """Per position the best score, the second best (0 if none), and how many."""
-    top = df.groupBy(position).agg(F.slice(F.sort_array(F.collect_list(F.struct(score, key)), asc=False), 1, 2).alias("t"), F.count(F.lit(1)).alias("n"))
-    return top.select(position, F.col("t")[0][score].alias("best"), F.coalesce(F.try_element_at("t", F.lit(2))[score], F.lit(0.0)).alias("second"), "n")
+    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(position).orderBy(F.desc(score), F.desc(key))))
+    counts = df.groupBy(position).agg(F.count(F.lit(1)).alias("n"))
+    top = ranked.where("rank_ <= 2").groupBy(position).agg(F.max(F.when(F.col("rank_") == 1, F.col(score))).alias("best"), F.coalesce(F.max(F.when(F.col("rank_") == 2, F.col(score))), F.lit(0.0)).alias("second"))
+    return top.join(counts, position).select(position, "best", "second", "n")

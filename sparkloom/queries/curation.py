@@ -142,11 +142,12 @@ PRIVATE_SQL = r"(/(?:home|root|mnt|data|Users|workspace)/|-----BEGIN [A-Z ]*PRIV
 
 
 @query(f"""
-SELECT doc_id FROM documents WHERE regexp_matches(text, '{PRIVATE_SQL}')""")
+SELECT doc_id FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 10 WHEN 0 THEN ' /home/u/x' WHEN 1 THEN ' sk-abcdefghijklmnop0' WHEN 2 THEN ' -----BEGIN RSA PRIVATE KEY-----' ELSE '' END AS t FROM documents) WHERE regexp_matches(t, '{PRIVATE_SQL}')""")
 def private_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.functions.text import is_private
 
-    return table(spark, sf_dir, "documents").where(is_private(F.col("text"))).select("doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 10 == 0, " /home/u/x").when(F.col("doc_id") % 10 == 1, " sk-abcdefghijklmnop0").when(F.col("doc_id") % 10 == 2, " -----BEGIN RSA PRIVATE KEY-----").otherwise("")).alias("text"))
+    return texts.where(is_private(F.col("text"))).select("doc_id")
 
 
 @query("""
@@ -247,7 +248,9 @@ def repeat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, c.i::INTEGER AS copy_no FROM nation, (SELECT unnest(range(1, 4)) AS i) c ORDER BY c.i, sha1('5:' || n_nationkey), n_nationkey LIMIT 60""")
+WITH o AS (SELECT n_nationkey, row_number() OVER (ORDER BY sha1('5:' || n_nationkey), n_nationkey) - 1 AS i, count(*) OVER () AS total FROM nation),
+d AS (SELECT floor(concat('0x', substr(sha1('5:draw:' || j), 1, 12))::BIGINT / 281474976710656.0 * (SELECT any_value(total) FROM o))::BIGINT AS i FROM range((SELECT count(*) FROM nation), 60) AS r(j))
+SELECT n_nationkey, 1 AS copy_no FROM o UNION ALL SELECT n_nationkey, (1 + row_number() OVER (PARTITION BY n_nationkey))::INTEGER FROM d JOIN o USING (i)""")
 def resample_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.resample(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 60, 5)
 
@@ -359,7 +362,7 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS canonical FROM events""")
+SELECT event_id, '{"k":' || json_extract(props, '$.k')::VARCHAR || '}' AS canonical FROM events""")
 def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", canonical_json(F.col("props")).alias("canonical"))
 

@@ -30,17 +30,26 @@ def write_shards(df: DataFrame, path: str, size: Column, limit: int, order: list
     dealt.repartition("shard").sortWithinPartitions("shard", *order).write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
+def _content(df: DataFrame, names: list[str]) -> Column:
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(names))), {"ignoreNullFields": "false"}), 256)
+
+
 def resume_shards(df: DataFrame, path: str, key: str, size: Column, limit: int, order: list[str]) -> int:
-    """Append what an earlier run has not written; fails if its rows are not the first ones of ``df``. Returns rows added."""
+    """Append what an earlier run has not written; fails if its rows are not the first ones of ``df``, content and all. Returns rows added."""
     spark = df.sparkSession
     done = spark.read.parquet(path)
-    ranked = df.select(key, F.struct(*order).alias("__o"))
-    last = ranked.join(done.select(key), key, "left_semi").agg(F.max("__o").alias("m")).first()["m"]
-    rest = df.join(done.select(key), key, "left_anti")
+    if not set(df.columns) <= set(done.columns):
+        raise ValueError("written shards have other columns")
+    before = done.select(key, _content(done.select(*(F.col(c).cast(df.schema[c].dataType) for c in df.columns)), df.columns).alias("was_"))
+    now = df.select(key, F.struct(*order).alias("order_"), _content(df, df.columns).alias("is_"))
+    both = now.join(before, key, "full_outer")
+    last = both.where("was_ is not null and is_ is not null").agg(F.max("order_").alias("m")).first()["m"]
+    odd = F.col("is_").isNull() | (F.col("was_").isNotNull() & (F.col("was_") != F.col("is_")))
     if last is not None:
-        early = rest.where(F.struct(*order) < F.struct(*(F.lit(last[c]) for c in order)))
-        if not early.isEmpty() or not done.select(key).join(df.select(key), key, "left_anti").isEmpty():
-            raise ValueError("written shards are not a prefix of the input")
+        odd |= F.col("was_").isNull() & (F.col("order_") < F.struct(*(F.lit(last[c]) for c in order)))
+    if not both.where(odd).isEmpty():
+        raise ValueError("written shards are not a prefix of the input")
+    rest = df.join(done.select(key), key, "left_anti")
     n = rest.count()
     if n:
         first = done.agg(F.max("shard")).first()[0] + 1
@@ -108,12 +117,26 @@ def write_registry(path: str, entries: dict[str, dict]) -> None:
         json.dump(entries, f, indent=2, sort_keys=True)
 
 
-def html_cards(df: DataFrame, title: str, columns: list[str], limit: int = 200) -> str:
-    """A small HTML report of the first rows, for reading by people."""
-    from html import escape
+def html_cards(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One column, value: each row as an HTML card, for reading by people."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = [F.concat(F.lit(f"<p><b>{c}</b> "), safe(c), F.lit("</p>")) for c in columns]
+    return df.select(F.concat(F.lit("<div class=card>"), *lines, F.lit("</div>")).alias("value"))
+
+
+def write_html(df: DataFrame, path: str, title: str, columns: list[str], order: list[str]) -> None:
+    """A report of all rows in order, as a folder of HTML files, each a page of its own."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [f"<html><head><title>{title}</title></head><body><h1>{title}</h1>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</body></html>"]})
+
+    html_cards(ranged, columns).mapInPandas(pages, "value string").write.text(path)
 
-    def cards() -> Iterator[str]:
-        for row in df.select(*columns).limit(limit).collect():
-            yield "<div class=card>" + "".join(f"<p><b>{escape(c)}</b> {escape(str(row[c]))}</p>" for c in columns) + "</div>"
 
-    return f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{''.join(cards())}</body></html>"
+def take_skip(df: DataFrame, key: Column, n: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """(taken, rest) of a stream or table: rows whose key's hash falls on the first ``n`` of ``of`` places, and the others."""
+    place = F.pmod(F.xxhash64(key), F.lit(of))
+    return df.where(place < n), df.where(place >= n)

@@ -66,8 +66,8 @@ def read_any(spark: SparkSession, paths: list[str], schema: StructType | None =
 
 
 def read_metadata_csv(spark: SparkSession, path: str, where: str, order: str, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """A CSV table filtered, ordered, and cut to a range of rows."""
-    rows = spark.read.option("header", "true").csv(path).where(where).orderBy(order).offset(skip)
+    """A CSV table filtered, ordered by an expression (columns are text), and cut to a range of rows."""
+    rows = spark.read.option("header", "true").csv(path).where(where).orderBy(F.expr(order)).offset(skip)
     return rows if limit is None else rows.limit(limit)
 
 
@@ -81,14 +81,14 @@ def read_trajectory(spark: SparkSession, paths: str | list[str], names: tuple[st
 
 def read_intrinsics(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """width, height, fx, fy, cx, cy from the first six numbers of each file."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("c"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("c"))
     names = ("width", "height", "fx", "fy", "cx", "cy")
     return files.where(F.size("c") >= 6).select("path", *(F.col("c")[i].try_cast("double").alias(n) for i, n in enumerate(names)))
 
 
 def read_matrices(spark: SparkSession, paths: str | list[str], n: int = 4) -> DataFrame:
     """(path, m array<array<double>>) of n x n numbers as text; files of other counts are dropped."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double")).alias("c"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("double")).alias("c"))
     rows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice("c", i * n + 1, F.lit(n)))
     return files.where((F.size("c") == n * n) & F.forall("c", lambda x: x.isNotNull())).select("path", rows.alias("m"))
 
