@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NOT_ALNUM, U64, row_steps, text_buffers, words_of
+from sparkloom.llm.common import NOT_ALNUM, release, row_steps, text_buffers, words_of
 
 LEAST_COVERAGE = 0.8
 
@@ -31,6 +31,16 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -166,11 +176,26 @@ class LicenseMatcher:
                 share = (ends[first] - first) / len(template)
                 if share > best[0]:
                     best = (float(share), int(places[first]), int(places[ends[first] - 1]))
+                    if share >= 1:
+                        break
         if best[0] >= self.least - 1e-9:
             return best
         length, first, last = longest_common(seq.tolist(), template.tolist(), spread, at.tolist(), self.needed[k])
         return (length / len(template), int(at[first]), int(at[last])) if length else best
 
+    def stretches(self, where: np.ndarray, code: np.ndarray, k: int) -> Iterator[tuple[float, int, int]]:
+        """All stretches of template k that cover enough of it: the best one, then those before and after it."""
+        parts = [(where, code)]
+        while parts:
+            where, code = parts.pop()
+            if np.minimum(np.bincount(code, minlength=len(self.words)), self.counts[k]).sum() < self.needed[k]:
+                continue
+            share, first, last = self.best_stretch(where, code, k)
+            if share >= self.least - 1e-9:
+                yield share, first, last
+                a, b = np.searchsorted(where, first), np.searchsorted(where, last, "right")
+                parts += [(where[:a], code[:a]), (where[b:], code[b:])]
+
     def match(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[str, float, int, int]]]:
         """For each row the licenses found: (name, coverage, first byte, past the last byte)."""
         hashes, starts, ends, rows = words_of(data, offsets, NOT_ALNUM)
@@ -186,15 +211,14 @@ class LicenseMatcher:
             if may[i].any():
                 where = known[cuts[i] : cuts[i + 1]]
                 for k in np.flatnonzero(may[i]):
-                    share, first, last = self.best_stretch(where, at[where], int(k))
-                    if share >= self.least - 1e-9:
-                        base = int(offsets[i] - offsets[0])
+                    base = int(offsets[i] - offsets[0])
+                    for share, first, last in self.stretches(where, at[where], int(k)):
                         found.append((self.names[k], round(share, 4), int(starts[first]) - base, int(ends[last]) - base))
             yield found
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
-    """id_col and licenses: array of (name, coverage, start, end), best coverage first, of every row.
+    """id_col and licenses: array of (name, coverage, start, end), best coverage first, of every row; a notice that recurs has an entry each time.
 
     start and end are bytes of the UTF-8 text. Words are runs of letters and
     digits, A-Z as a-z. Null and empty texts have no licenses; repeated rows
@@ -213,8 +237,9 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             out = []
             for a, b in row_steps(offsets):
                 for found in matcher.match(data, offsets[a : b + 1]):
-                    out.append([dict(zip(("name", "coverage", "start", "end"), x, strict=True)) for x in sorted(found, key=lambda x: (-x[1], x[0]))])
+                    out.append([dict(zip(("name", "coverage", "start", "end"), x, strict=True)) for x in sorted(found, key=lambda x: (-x[1], x[0], x[2]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(item))], ["id", "licenses"])
+        release()
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"id {kind}, licenses array<struct<name:string,coverage:double,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)

@@ -326,6 +326,54 @@ def test_licenses_that_stand_twice_in_a_row(spark):
         assert found["coverage"] == 1.0 and texts[i][found["start"] : found["end"]] + "." == notice
 
 
+def test_whole_notices_amid_their_own_words_are_found(spark):
+    rng = random.Random(12)
+    texts, names = [], []
+    for _ in range(150):
+        name = rng.choice(list(licenses.TEMPLATES))
+        own = licenses.TEMPLATES[name].split()
+        loose = lambda: " ".join(rng.choice(own) for _ in range(rng.randrange(40)))
+        texts.append(f"{loose()} {licenses.TEMPLATES[name]} {loose()}")
+        names.append(name)
+    rows = licenses.scan_licenses(docs(spark, texts)).collect()
+    assert all(names[r["doc_id"]] in {x["name"] for x in r["licenses"]} for r in rows)
+
+
+def test_every_occurrence_of_a_notice_and_awkward_rows(spark):
+    line = licenses.TEMPLATES["bsl-1.0"]
+    text = f"one {line} some words between them {line} and more {line}"
+    rows = licenses.scan_licenses(docs(spark, [text])).first()["licenses"]
+    found = sorted((x["start"], x["end"]) for x in rows if x["name"] == "bsl-1.0")
+    assert [text[a:b] + "." for a, b in found] == [line] * 3
+    clashing = awkward(spark).withColumn("licenses", F.lit(1))
+    assert licenses.summarize(licenses.scan_licenses(clashing)).where("n_licenses > 0").count() == 0
+    assert licenses.scan_licenses(clashing).count() == 2 * len(AWKWARD) and licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_narrow_operators_on_empty_tables(spark):
+    none = docs(spark, [])
+    assert token_counts.count_documents(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    assert media.media_columns(none, with_hashes=True).count() == 0 and language.predict(none, None).count() == 0
+
+
+def test_documents_of_the_queries_agree_with_the_libraries(spark):
+    """ids_sha256 and n_tokens per document, as the libraries give them, huge and awkward texts among them."""
+    tiktoken, sentencepiece = pytest.importorskip("tiktoken"), pytest.importorskip("sentencepiece")
+    rng = random.Random(13)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()
+    texts = [r["text"] for r in rows] + AWKWARD + [" ".join(rng.choice(["the", "naïve", "中文", "x" * 50, "12", "\n"]) for _ in range(250_000))]
+    df = docs(spark, texts)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.text_encoder(path, public_tokenizers.PATTERN).v.ranks, special_tokens={})
+    for r in bpe.encode_documents(df, path, public_tokenizers.PATTERN).collect():
+        ids = library.encode_ordinary(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    piece = public_tokenizers.path("piece_bpe_32k.model")
+    processor = sentencepiece.SentencePieceProcessor(model_file=piece)
+    for r in token_counts.count_documents(df, piece).collect():
+        assert r["n_tokens"] == len(processor.encode(texts[r["doc_id"]] or ""))
+
+
 def test_longest_common_agrees_with_a_plain_one():
     rng = random.Random(9)
     for _ in range(200):
