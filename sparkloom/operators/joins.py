@@ -20,9 +20,29 @@ def multi_key_join(left: DataFrame, right: DataFrame, left_keys: list[Column], r
     return marked.join(hit, "__row", how).select(*left.columns, "__r.*")
 
 
+#: Names up to which a table of them is broadcast, and the letters by which texts meet more of them.
+BROADCAST_NAMES = 2_000
+NAME_HEAD = 6
+
+
 def contains_longest(df: DataFrame, text: str, names: DataFrame, name: str, key: str) -> DataFrame:
-    """The longest name that each text contains, from a table of names (a broadcast theta join)."""
-    hits = df.join(F.broadcast(names.select(name)), F.contains(F.lower(F.col(text)), F.lower(F.col(name))))
+    """The longest name that each text contains, from a table of names.
+
+    Up to BROADCAST_NAMES names are broadcast and tried one by one; of more,
+    a text meets those that begin like one of its places.
+    """
+    few = names.select(name).where(F.col(name).isNotNull()).distinct()
+    inside = F.contains(F.lower(F.col(text)), F.lower(F.col(name)))
+    if few.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        hits = df.join(F.broadcast(few), inside)
+    else:
+        head = lambda c, at: F.substring(F.lower(c), at, F.lit(NAME_HEAD))
+        low = F.lower(F.col(text))
+        places = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: head(F.col(text), i))
+        # heads shorter than the rest belong to short names: every shorter beginning of a place counts too
+        heads = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(F.lit(1), F.lit(NAME_HEAD)), lambda n: F.substring(p, F.lit(1), n))))
+        keyed = few.withColumn("head_", head(F.col(name), F.lit(1)))
+        hits = df.withColumn("head_", F.explode(F.array_distinct(heads))).join(keyed, "head_").where(inside)
     best = hits.groupBy(key).agg(F.max_by(name, F.struct(F.length(name), name)).alias(name))
     return df.join(best, key, "left")
 

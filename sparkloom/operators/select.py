@@ -58,11 +58,32 @@ def largest_remainder(df: DataFrame, stratum: str, limit: int) -> DataFrame:
     return ranked.select(stratum, "n", F.least(F.col("n"), F.col("base") + F.when(F.col("r") <= F.col("left"), 1).otherwise(0)).alias("quota"))
 
 
-def stratified_sample(df: DataFrame, stratum: str, key: str, limit: int, seed: int | str) -> DataFrame:
+#: Hexadecimal digits of a hash by which rows are counted before any are ranked.
+DIGITS = 4
+
+
+def first_by_hash(df: DataFrame, group: str, key: str, quotas: DataFrame, seed: int | str) -> DataFrame:
+    """Of each group its ``quota`` rows (a column of ``quotas``) that come first in hash order of the key.
+
+    Rows are counted by group and the first digits of their hashes; where a
+    quota ends within such a cell, that cell's rows alone are ranked. A group of
+    any size is never in one task.
+    """
+    hashed = df.withColumn("order_", order_key(seed, F.col(key))).withColumn("cell_", F.substring("order_", 1, DIGITS))
+    counts = hashed.groupBy(group, "cell_").agg(F.count(F.lit(1)).alias("n_"))
+    to = F.sum("n_").over(Window.partitionBy(group).orderBy("cell_"))
+    ends = counts.withColumn("to_", to).join(quotas.select(F.col(group).alias("group_"), F.col("quota").alias("quota_")), F.col(group).eqNullSafe(F.col("group_")))
+    ends = ends.groupBy("group_", "quota_").agg(F.min(F.when(F.col("to_") >= F.col("quota_"), F.col("cell_"))).alias("edge_"), F.coalesce(F.max(F.when(F.col("to_") < F.col("quota_"), F.col("to_"))), F.lit(0)).alias("before_"))
+    near = hashed.join(ends, F.col(group).eqNullSafe(F.col("group_"))).where((F.col("quota_") > 0) & (F.col("edge_").isNull() | (F.col("cell_") <= F.col("edge_"))))
+    inside = near.where(F.col("edge_").isNull() | (F.col("cell_") < F.col("edge_")))
+    ranked = near.where(F.col("cell_") == F.col("edge_")).withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy("order_", key)))
+    edge = ranked.where(F.col("rank_") <= F.col("quota_") - F.col("before_"))
+    return inside.select(*df.columns).unionByName(edge.select(*df.columns))
+
+
+def stratified_sample(df: DataFrame, stratum: str, key: str, limit: int | Column, seed: int | str) -> DataFrame:
     """``limit`` rows in proportion to the strata, in each by hash order of the key."""
-    quotas = largest_remainder(df, stratum, limit).select(stratum, "quota")
-    w = Window.partitionBy(stratum).orderBy(order_key(seed, F.col(key)), key)
-    return df.withColumn("__r", F.row_number().over(w)).join(quotas, stratum).where("__r <= quota").drop("__r", "quota")
+    return first_by_hash(df, stratum, key, largest_remainder(df, stratum, limit), seed)
 
 
 def even_quotas(keys: list, total: int) -> dict:
@@ -198,11 +219,10 @@ def hash_split(df: DataFrame, key: Column, seed: int | str, val_fraction: float,
     """Adds 'val' or 'train' by the key's hash; if none fell to val, its last key does."""
     from sparkloom.functions.hashing import split_name
 
-    named = df.withColumn("__k", key).withColumn(out, split_name(F.col("__k"), seed, val_fraction))
-    seen = named.agg(F.max((F.col(out) == "val").cast("int")).alias("v"), F.max("__k").alias("k")).first()
-    if seen["v"] == 0:
-        named = named.withColumn(out, F.when(F.col("__k") == F.lit(seen["k"]), "val").otherwise(F.col(out)))
-    return named.drop("__k")
+    named = df.withColumn("key_", key).withColumn(out, split_name(F.col("key_"), seed, val_fraction))
+    seen = named.agg(F.max((F.col(out) == "val").cast("int")).alias("any_"), F.max("key_").alias("last_"))
+    fallen = (F.col("any_") == 0) & F.col("key_").eqNullSafe(F.col("last_"))
+    return named.crossJoin(F.broadcast(seen)).withColumn(out, F.when(fallen, "val").otherwise(F.col(out))).drop("key_", "any_", "last_")
 
 
 def grouped_greedy(df: DataFrame, group: list[str], order: list[str], pick: Callable[[pd.DataFrame], list[bool]]) -> DataFrame:

@@ -61,7 +61,10 @@ def unpad(df: DataFrame) -> DataFrame:
 
 def chunks(df: DataFrame, order: str, n: int) -> DataFrame:
     """Adds chunk (from 0): n contiguous parts of a batch, as equal as can be."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.orderBy(order)) - 1)
+    size, more = divmod(df.count(), n)  # the first ones have one row more
+    row, ahead = F.col("row_no"), more * (size + 1)
+    chunk = F.when(row < ahead, F.floor(row / (size + 1))).otherwise(more + F.floor((row - ahead) / max(1, size)))
+    return global_row_number(df, [order]).withColumn("chunk", chunk.cast("int")).drop("row_no")
 
 
 def collate(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import collapse_spaces
 from sparkloom.operators import aggregate, normalize, select, validate
+from sparkloom.tables import written
 
 LEVELS = {"en": "l1", "de": "l2", "fr": "l2", "es": "l3"}
 
@@ -20,6 +21,7 @@ def select_corpus(docs: DataFrame, labels: DataFrame, *, seed: int = 20, share:
     unique = select.first_by(narrow, ["digest"], ["doc_id"])
     reasons = validate.first_reason([("toxic", F.col("toxic") == 1), ("short", F.col("n_chars") < 100)])
     kept = unique.join(labels, "doc_id", "left").withColumn("reason", reasons).where("reason is null").drop("reason", "quality", "toxic", "digest")
+    kept = written(kept, "kept")  # a few narrow columns; three passes follow
     limit = kept.count() // share
     sample = select.stratified_sample(kept, "level", "doc_id", limit, seed)
     return select.hash_split(sample, F.concat_ws(":", "source", "doc_id"), seed, val_fraction)

@@ -133,6 +133,33 @@ def test_even_quotas():
     assert sum(select.even_quotas(["a", "b", "c"], 10).values()) == 10
 
 
+def test_first_by_hash_is_a_ranking(spark):
+    from sparkloom.functions.hashing import order_key
+
+    df = spark.createDataFrame([(i, "a" if i % 7 else None if i % 2 else "b") for i in range(900)], "k int, g string")
+    quotas = spark.createDataFrame([("a", 333), (None, 20), ("b", 500)], "g string, quota int")
+    got = sorted(r["k"] for r in select.first_by_hash(df, "g", "k", quotas, 9).collect())
+    order = {r["k"]: r["o"] for r in df.select("k", order_key(9, F.col("k")).alias("o")).collect()}
+    rows = [(r["k"], r["g"]) for r in df.collect()]
+    want = []
+    for g, n in (("a", 333), (None, 20), ("b", 500)):
+        want += sorted((k for k, x in rows if x == g), key=lambda k: (order[k], k))[:n]
+    assert got == sorted(want)
+
+
+def test_many_names_are_met_by_their_beginnings(spark, monkeypatch):
+    from sparkloom.operators import joins
+
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)})
+    texts = spark.createDataFrame([(i, "".join(rng.choice("abcX") for _ in range(12))) for i in range(40)] + [(99, ""), (100, None)], "i int, t string")
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    one_by_one = {r["i"]: r["n"] for r in joins.contains_longest(texts, "t", table, "n", "i").collect()}
+    monkeypatch.setattr(joins, "BROADCAST_NAMES", 3)
+    assert {r["i"]: r["n"] for r in joins.contains_longest(texts, "t", table, "n", "i").collect()} == one_by_one
+    assert any(one_by_one.values())
+
+
 # tokens, losses, encodings
 
 
