@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words, pieces, and pairs of tokens that a worker remembers before it starts anew.
-MEMO_PIECES = 250_000
-MEMO_PAIRS = 500_000
+#: Distinct words and pieces, and pairs of tokens, that a worker remembers.
+MEMO_PIECES = 170_000
+MEMO_PAIRS = 400_000
 
 # Fixed value: the public splitting pattern of byte-level BPE. None of its matches holds a space
 # after its first character, runs of white space aside.
@@ -55,7 +55,11 @@ class BpeVocabulary:
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        if len(ranks) >= 1 << 20:
+            raise ValueError("more tokens than a pair's key has room for")
         self._apart: dict[int, bool] = {}
+        self._reach: dict[int, bool] = {}
+        self._edges: dict[int, list[tuple[bytes, float]]] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         #: Finds every token in a text, by end and then longest first. Bytes are its characters.
         self.finder = ahocorasick.Automaton()
@@ -92,13 +96,15 @@ class BpeVocabulary:
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
         """What stands at the token's right (side 1) or left (0) edge as merges go on, and the rank that ends it."""
-        out, until = [], float("inf")
-        while True:
-            out.append((self.text[token], until))
-            parts = self.parts(token)
-            if parts is None:
-                return out
-            until, token = token, parts[side]
+        found = self._edges.get(token << 1 | side)
+        if found is None:
+            found, until, now = [], float("inf"), token
+            while now is not None:
+                found.append((self.text[now], until))
+                parts = self.parts(now)
+                until, now = now, None if parts is None else parts[side]
+            self._edges[token << 1 | side] = found
+        return found
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens as they are when they meet.
@@ -107,14 +113,22 @@ class BpeVocabulary:
         takes in what stands on the left of the seam, and not after the one on
         the right (of equal ranks the leftmost goes first).
         """
-        found = self._apart.get(left << 32 | right)
+        found = self._apart.get(left << 20 | right)
         if found is None:
             if len(self._apart) >= MEMO_PAIRS:
                 self._apart.clear()
-            get, seen = self.ranks.get, self._edge(right, 0)
-            found = self._apart[left << 32 | right] = not any((rank := get(a + b)) is not None and rank < ends_a and rank <= ends_b for a, ends_a in self._edge(left, 1) for b, ends_b in seen)
+            found = self._apart[left << 20 | right] = not self._crossed(left, right)
         return found
 
+    def _crossed(self, left: int, right: int) -> bool:
+        get, seen = self.ranks.get, self._edge(right, 0)
+        for a, ends_a in self._edge(left, 1):
+            for b, ends_b in seen:
+                rank = get(a + b)
+                if rank is not None and rank < ends_a and rank <= ends_b:
+                    return True
+        return False
+
 
 class PrefixEncoder:
     """An encoding that can grow at its end and be edited anywhere.
@@ -171,18 +185,19 @@ class PrefixEncoder:
 
 def last_tokens(v: BpeVocabulary, piece: bytes) -> list[int]:
     """PrefixEncoder(v, piece).last, with all candidates found in one go."""
-    known, out = v._apart, [-1] * len(piece)
+    known, reach, out = v._apart, v._reach, [-1] * len(piece)
     for at, (n, token) in v.finder.iter(piece.decode("latin-1")):
         if out[at] >= 0:
             continue
-        if n > at:
-            if v.reached(token):
-                out[at] = token
-            continue
-        left = out[at - n]
-        good = known.get(left << 32 | token)
+        good = reach.get(token)
         if good is None:
-            good = v.reached(token) and v.apart(left, token)
+            good = reach[token] = v.reached(token)
+        if good and n <= at:
+            left = out[at - n]
+            pair = left << 20 | token
+            good = known.get(pair)
+            if good is None:
+                good = v.apart(left, token)
         if good:
             out[at] = token
     if -1 in out:
@@ -191,18 +206,22 @@ def last_tokens(v: BpeVocabulary, piece: bytes) -> list[int]:
 
 
 class _Memo(dict):
-    """What ``work`` gives for a text; forgets everything once it holds MEMO_PIECES texts."""
+    """What ``work`` gives for a text. Texts not asked for while MEMO_PIECES others were new are forgotten."""
 
     def __init__(self, work):
         super().__init__()
-        self.work = work
+        self.work, self.before = work, {}
 
     def __missing__(self, text: str):
-        out = self.work(text)
-        if len(text) <= 64:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[text] = out
+        out = self.before.get(text, self)  # itself: not known, as None is an outcome too
+        if out is self:
+            out = self.work(text)
+            if len(text) > 64:
+                return out
+        if len(self) >= MEMO_PIECES:
+            self.before = dict(self)
+            self.clear()
+        self[text] = out
         return out
 
 
@@ -233,10 +252,16 @@ class TextEncoder:
         return struct.pack(f"<{len(ids)}I", *reversed(ids))
 
     def _word(self, word: str) -> bytes | None:
-        """The ids of a space and ``word``; None if that space may belong to a longer run of white space."""
+        """The ids of a space and ``word``; None if that space may belong to a longer run of white space.
+
+        A match that is itself a space and a word is remembered as that word.
+        """
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        return self._matches(" " + word)
+        found = self.pattern.findall(" " + word)
+        if len(found) == 1:
+            return self._piece(found[0])
+        return b"".join([self.words[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() else self.pieces[p] for p in found])
 
     def _matches(self, text: str) -> bytes:
         pieces = self.pieces
