@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +67,48 @@ def band_join(left: DataFrame, right: DataFrame, value_l: str, value_r: str, wid
     return l.join(r, [*keys, "__b"]).where(F.abs(F.col(value_l) - F.col(value_r)) <= width).drop("__b")
 
 
+def _reached(values: DataFrame, by: list[str], width: float) -> DataFrame:
+    """(*by, v, near) of rows (*by, v, n, home) at home: the n of all rows of a group with abs(v - other) <= width, added up."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("v", kind="stable")
+        v, home = part["v"].to_numpy(), part["home"].to_numpy(bool)
+        total = np.concatenate([[0], np.cumsum(part["n"].to_numpy())])
+        mine = v[home]
+
+        def first(holds: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            """The first place from which on a condition on differences holds; rounded differences keep the order of v."""
+            low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(v))
+            while (open_ := low < high).any():
+                mid = (low + high) // 2
+                good = holds(v[np.minimum(mid, len(v) - 1)])
+                high, low = np.where(open_ & good, mid, high), np.where(open_ & ~good, mid + 1, low)
+            return low
+
+        near = total[first(lambda x: x - mine > width)] - total[first(lambda x: mine - x <= width)]
+        return part.loc[home, [*by, "v"]].assign(near=near)
+
+    fields = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in [*by, "v"]) + ", near long"
+    return values.groupBy(*by).applyInPandas(run, fields)
+
+
 def band_count(df: DataFrame, value: str, key: str, width: float, out: str = "neighbours") -> DataFrame:
-    """Adds the number of other rows within ``width``: a range frame in each bucket and its neighbours, no pairs."""
-    bucket = df.withColumn("__b", F.floor(F.col(value) / width))
-    near = bucket.withColumn("__t", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)))
-    frame = f"count(1) over (partition by __t order by `{value}` range between {width}D preceding and {width}D following)"
-    inside = near.withColumn("__n", F.expr(frame)).where("__t = __b")
-    return inside.withColumn(out, F.col("__n") - 1).drop("__b", "__t", "__n")
+    """Adds the number of rows of other keys with abs(value - other) <= width, in doubles and by that very expression; no pairs.
+
+    Distinct values are counted first and meet in cells of twice the width.
+    Rows without a key or a finite value have no neighbours and are none.
+    """
+    rows = df.withColumn("v", F.col(value).cast("double"))
+    held = rows.where(F.col(key).isNotNull() & (F.abs("v") < float("inf"))).groupBy(F.col(key).alias("k"), "v").agg(F.count(F.lit(1)).alias("n"))
+    # beyond 2 ** 52 cells their numbers would be rounded: what is there shares the outermost ones
+    edge = float(1 << 52)
+    cell = F.floor(F.greatest(F.least(F.col("v") / (2 * width), F.lit(edge)), F.lit(-edge)))
+    near = held.groupBy("v").agg(F.sum("n").alias("n")).select("v", "n", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("d"))
+    every = _reached(near.select((cell + F.col("d")).alias("cell"), "v", "n", (F.col("d") == 0).alias("home")), ["cell"], width).select("v", "near")
+    several = held.groupBy("k").agg(F.sum("n").alias("m")).where("m > 1").select("k")
+    own = _reached(held.join(several.hint("merge"), "k", "left_semi").withColumn("home", F.lit(True)), ["k"], width)
+    found = rows.join(every.hint("merge"), "v", "left").join(own.select(F.col("k").alias(key), "v", F.col("near").alias("own")).hint("merge"), [key, "v"], "left")
+    others = F.when(F.col(key).isNotNull() & F.col("near").isNotNull(), F.col("near") - F.coalesce("own", F.lit(1)))
+    return found.select(*df.columns, F.coalesce(others, F.lit(0)).cast("long").alias(out))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, keys: list[str], *, right_columns: list[str], tolerance: Column | None = None, gap: Callable[[Column, Column], Column] | None = None) -> DataFrame:

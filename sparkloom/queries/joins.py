@@ -50,7 +50,7 @@ def self_pair_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT a.s_suppkey, count(b.s_suppkey) AS neighbours FROM supplier a LEFT JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 150 GROUP BY 1""")
 def band_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.band_count(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey", 150.0).select("s_suppkey", "neighbours")
+    return joins.band_count(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey", 150.0).groupBy("s_suppkey").agg(F.sum("neighbours").alias("neighbours"))
 
 
 @query("""
