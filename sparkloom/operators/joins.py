@@ -67,25 +67,33 @@ def band_join(left: DataFrame, right: DataFrame, value_l: str, value_r: str, wid
     return l.join(r, [*keys, "__b"]).where(F.abs(F.col(value_l) - F.col(value_r)) <= width).drop("__b")
 
 
+def _window(v: np.ndarray, mine: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the sorted ``v`` with abs(v - x) <= width, for each x of ``mine``, by differences as they are rounded: these keep the order of v."""
+    def first(holds: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(v))
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            good = holds(v[np.minimum(mid, len(v) - 1)])
+            high, low = np.where(open_ & good, mid, high), np.where(open_ & ~good, mid + 1, low)
+        return low
+
+    return first(lambda x: mine - x <= width), first(lambda x: x - mine > width)
+
+
+def _cell(c: str, width: float) -> Column:
+    """Cells of twice the width: rounding can't put values that are near enough two cells apart. What is beyond 2 ** 52 shares the outermost ones."""
+    edge = float(1 << 52)
+    return F.floor(F.greatest(F.least(F.col(c) / (2 * width), F.lit(edge)), F.lit(-edge)))
+
+
 def _reached(values: DataFrame, by: list[str], width: float) -> DataFrame:
     """(*by, v, near) of rows (*by, v, n, home) at home: the n of all rows of a group with abs(v - other) <= width, added up."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("v", kind="stable")
         v, home = part["v"].to_numpy(), part["home"].to_numpy(bool)
         total = np.concatenate([[0], np.cumsum(part["n"].to_numpy())])
-        mine = v[home]
-
-        def first(holds: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-            """The first place from which on a condition on differences holds; rounded differences keep the order of v."""
-            low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(v))
-            while (open_ := low < high).any():
-                mid = (low + high) // 2
-                good = holds(v[np.minimum(mid, len(v) - 1)])
-                high, low = np.where(open_ & good, mid, high), np.where(open_ & ~good, mid + 1, low)
-            return low
-
-        near = total[first(lambda x: x - mine > width)] - total[first(lambda x: mine - x <= width)]
-        return part.loc[home, [*by, "v"]].assign(near=near)
+        first, end = _window(v, v[home], width)
+        return part.loc[home, [*by, "v"]].assign(near=total[end] - total[first])
 
     fields = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in [*by, "v"]) + ", near long"
     return values.groupBy(*by).applyInPandas(run, fields)
@@ -99,11 +107,8 @@ def band_count(df: DataFrame, value: str, key: str, width: float, out: str = "ne
     """
     rows = df.withColumn("v", F.col(value).cast("double"))
     held = rows.where(F.col(key).isNotNull() & (F.abs("v") < float("inf"))).groupBy(F.col(key).alias("k"), "v").agg(F.count(F.lit(1)).alias("n"))
-    # beyond 2 ** 52 cells their numbers would be rounded: what is there shares the outermost ones
-    edge = float(1 << 52)
-    cell = F.floor(F.greatest(F.least(F.col("v") / (2 * width), F.lit(edge)), F.lit(-edge)))
     near = held.groupBy("v").agg(F.sum("n").alias("n")).select("v", "n", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("d"))
-    every = _reached(near.select((cell + F.col("d")).alias("cell"), "v", "n", (F.col("d") == 0).alias("home")), ["cell"], width).select("v", "near")
+    every = _reached(near.select((_cell("v", width) + F.col("d")).alias("cell"), "v", "n", (F.col("d") == 0).alias("home")), ["cell"], width).select("v", "near")
     several = held.groupBy("k").agg(F.sum("n").alias("m")).where("m > 1").select("k")
     own = _reached(held.join(several.hint("merge"), "k", "left_semi").withColumn("home", F.lit(True)), ["k"], width)
     found = rows.join(every.hint("merge"), "v", "left").join(own.select(F.col("k").alias(key), "v", F.col("near").alias("own")).hint("merge"), [key, "v"], "left")
@@ -164,6 +169,44 @@ def bucket_near_duplicates(df: DataFrame, group: list[str], key: str, bands: dic
     return met.drop("__x", "__y")
 
 
+def earlier_near(df: DataFrame, group: list[str], key: str, x: str, wide: float, y: str, high: float, out: str) -> DataFrame:
+    """Adds whether a smaller ``key`` (a number) of the group has abs(x - its x) <= wide and abs(y - its y) <= high; no pairs of rows.
+
+    Rows of equal values are one class with its smallest key. A class asks each
+    value of x in reach for the smallest key in its window of y; x should be
+    the column of fewer values. No side is broadcast: its size isn't what the
+    planner takes it for.
+    """
+    here = df.select(*group, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"), F.col(key).cast("long").alias("k_"))
+    here = here.where(" and ".join([*(f"`{c}` is not null" for c in [*group, "k_"]), *(f"abs({c}) < double('infinity')" for c in ("x_", "y_"))]))
+    classes = here.groupBy(*group, "x_", "y_").agg(F.min("k_").alias("k_"))
+    lines = classes.select(*group, "x_").distinct()
+    cells = lines.select(*group, F.col("x_").alias("at_"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _cell("x_", wide) + d)).alias("c_"))
+    reach = lines.withColumn("c_", _cell("x_", wide)).join(cells.hint("merge"), [*group, "c_"]).where(F.abs(F.col("x_") - F.col("at_")) <= wide).drop("c_")
+    asked = classes.drop("k_").join(reach.hint("merge"), [*group, "x_"]).select(*group, "at_", "x_", "y_", F.lit(0).cast("long").alias("k_"), F.lit(True).alias("asks_"))
+    others = classes.select(*group, F.col("x_").alias("at_"), "x_", "y_", "k_", F.lit(False).alias("asks_"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["asks_"].to_numpy(bool)
+        line = part[~asks].sort_values("y_", kind="stable")
+        table = [line["k_"].to_numpy(np.int64)]  # minima of 1, 2, 4, ... neighbours
+        while 2 << (len(table) - 1) <= len(line):
+            t, w = table[-1], 1 << (len(table) - 1)
+            table.append(np.minimum(t[:-w], t[w:]))
+        found = part.loc[asks, [*group, "x_", "y_"]]
+        first, end = _window(line["y_"].to_numpy(), found["y_"].to_numpy(), high)
+        least = np.zeros(len(found), np.int64)
+        for level, t in enumerate(table):
+            mine = (end - first >= 1 << level) & (end - first < 2 << level)
+            least[mine] = np.minimum(t[first[mine]], t[end[mine] - (1 << level)])
+        return found.assign(least_=least)[end > first]
+
+    fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group), "x_ double, y_ double, least_ long"])
+    least = asked.unionByName(others).groupBy(*group, "at_").applyInPandas(run, fields).groupBy(*group, "x_", "y_").agg(F.min("least_").alias("least_"))
+    valued = df.withColumn("x_", F.col(x).cast("double")).withColumn("y_", F.col(y).cast("double"))
+    return valued.join(least.hint("merge"), [*group, "x_", "y_"], "left").select(*df.columns, F.coalesce(F.col("least_") < F.col(key), F.lit(False)).alias(out))
+
+
 def lookup_all(df: DataFrame, key: str, items: Column, table: DataFrame, on: list[str], n: int) -> DataFrame:
     """Rows all of whose items (structs of ``on``) are in the table, with the found rows in order; any miss rejects."""
     each = df.select(key, F.posexplode(items).alias("at", "i")).select(key, "at", "i.*")

@@ -64,10 +64,8 @@ def band_join_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p.p_partkey, EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey < p.p_partkey AND abs(q.p_size - p.p_size) <= 2 AND abs(q.p_retailprice - p.p_retailprice) <= 6) AS has_earlier FROM part p""")
 def bucket_near_dup_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    pairs = joins.bucket_near_duplicates(part, ["p_brand"], "p_partkey", {"size": 2.0, "price": 6.0}, {"size": 2.0, "price": 6.0})
-    late = pairs.select(F.col("b_p_partkey").alias("p_partkey"), F.lit(True).alias("f")).distinct()
-    return part.join(late, "p_partkey", "left").select("p_partkey", F.coalesce("f", F.lit(False)).alias("has_earlier"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return joins.earlier_near(part, ["p_brand"], "p_partkey", "p_size", 2.0, "p_retailprice", 6.0, "has_earlier").select("p_partkey", "has_earlier")
 
 
 @query()

@@ -35,3 +35,23 @@ def test_band_neighbors_of_odd_rows(spark, tmp_path):
     rows = [(1, 150.0), (2, -1e-20), (3, None), (None, 10.0), (4, float("nan")), (5, float("inf")), (6, 1e300), (7, 10.0), (7, 20.0), (7, 500.0)]
     want = same_as_sql(spark, tmp_path, "band_neighbors", supplier=(rows, "s_suppkey long, s_acctbal double"))
     assert (1, 3) in want and (7, 4) in want and len(want) == 8
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def test_near_dup_flag_of_copies_and_odd_rows(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(10_000), "n", rng.choice("ab"), "t", rng.randrange(50), round(rng.randrange(900) * 3 + rng.randrange(3) / 100 + rng.choice([0.07, 0.29]), 2)) for _ in range(600)]
+    rows += [(10_000 + k, *r) for k, *r in rows[:200]]
+    rows += [(1, "n", "c", "t", 5, 6.0), (2, "n", "c", "t", 5, -1e-20), (2, "n", "c", "t", 40, 100.0), (3, "n", None, "t", 5, 6.0), (4, "n", "c", "t", None, 6.0), (5, "n", "c", "t", 5, None)]
+    rows += [(6 + i, "n", "d", "t", 5, x) for i, x in enumerate([float("nan"), float("nan"), float("inf"), float("inf"), 1e300, 1e300])]
+    want = same_as_sql(spark, tmp_path, "bucket_near_dup_flag", part=(rows, PART))
+    assert len(want) == len(rows) and (2, True) in want and (2, False) in want
+
+
+def test_near_dup_flag_broadcasts_nothing(spark, tmp_path):
+    """What cells make of a table is many times what the planner takes it for."""
+    spark.createDataFrame([(i, "n", "a", "t", i % 50, i / 7) for i in range(200)], PART).write.parquet(f"{tmp_path}/part.parquet")
+    df = __spark_entry__.queries()["bucket_near_dup_flag"](spark, str(tmp_path))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
