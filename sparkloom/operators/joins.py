@@ -48,15 +48,45 @@ def contains_longest(df: DataFrame, text: str, names: DataFrame, name: str, key:
     return df.join(best, key, "left")
 
 
-def pairs_within(df: DataFrame, group: list[str], key: str, condition: Callable[[str, str], str], *, ordered: bool = False) -> DataFrame:
+#: Rows of a key of a pair join that a task takes at once, and the pairs tried in a partition, on average.
+PAIR_TILE = 4096
+PAIRS_TRIED = 8_000_000
+
+
+def pairs_within(df: DataFrame, group: list[str], key: str, condition: Callable[[str, str], str], *, ordered: bool = False, band: tuple[str, float] | None = None) -> DataFrame:
     """Pairs of rows of a group, as columns a_* and b_*, that meet a condition on the prefixes.
 
-    Unordered pairs come once (smaller key first). For groups whose size is
-    bounded by nature, such as the objects of a scene; for others use a band join.
+    Unordered pairs come once (smaller key first). With ``band`` (column, width)
+    only rows with abs(a - b) <= width of that column are tried: they meet by its
+    values, a value with those in its reach. Partitions are as many as the pairs
+    tried ask for (a small table makes many pairs), and the first rows of a key
+    of more than PAIR_TILE are dealt out over tasks.
     """
-    a, b = (df.select(*group, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in group)) for p in "ab")
-    on = a.join(b, group).where(f"a_{key} {'<>' if ordered else '<'} b_{key}")
-    return on.where(condition("a_", "b_"))
+    by = [*group, "x_"] if band else group
+    rows = df.withColumn("x_", F.col(band[0]).cast("double") + 0.0).where(F.abs("x_") < float("inf")) if band else df
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"))
+    met = sizes.withColumn("at_", F.col("x_")) if band else sizes
+    if band:
+        met = _reach(sizes.select(*by), group, band[1]).join(sizes.hint("merge"), by)
+        met = met.join(sizes.select(*group, F.col("x_").alias("at_"), F.col("n_").alias("m_")).hint("merge"), [*group, "at_"])
+    tried = met.agg(F.sum(F.col("n_").cast("double") * F.col("m_" if band else "n_"))).first()[0] or 0.0
+    spark = df.sparkSession
+    many = int(min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), tried // PAIRS_TRIED + 1)))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in group]
+    tiles = sizes.where(F.col("n_") > PAIR_TILE).select(*by, F.ceil(F.col("n_") / PAIR_TILE).cast("int").alias("tiles_"))
+    # a first row meets every second one of each value in its reach, in the tile that its key falls in
+    first, second = rows, rows
+    if band:
+        reach = _reach(sizes.select(*by), group, band[1])
+        first = rows.join(reach.hint("merge"), by).drop("x_").withColumnRenamed("at_", "x_")
+    n_tiles = F.coalesce("tiles_", F.lit(1))
+    # as text: a join on doubles would shuffle once more, by their normal form, and drop the number of partitions
+    keys = [*group, *([F.col("x_").cast("string").alias("x_")] if band else [])]
+    first = first.join(tiles.hint("merge"), by, "left").select(*keys, F.pmod(F.xxhash64(key), n_tiles).cast("int").alias("tile_"), *side("a"))
+    second = second.join(tiles.hint("merge"), by, "left").select(*keys, F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("tile_"), *side("b"))
+    on = first.repartition(many, *by, "tile_").join(second.repartition(many, *by, "tile_").hint("shuffle_hash"), [*by, "tile_"])
+    on = on.where(f"a_{key} {'<>' if ordered else '<'} b_{key}").where(condition("a_", "b_"))
+    return on.drop("tile_", *(["x_"] if band else []))
 
 
 def band_join(left: DataFrame, right: DataFrame, value_l: str, value_r: str, width: float, keys: list[str] | None = None) -> DataFrame:
@@ -86,6 +116,12 @@ def _cell(c: str, width: float) -> Column:
     return F.floor(F.greatest(F.least(F.col(c) / (2 * width), F.lit(edge)), F.lit(-edge)))
 
 
+def _reach(lines: DataFrame, group: list[str], width: float) -> DataFrame:
+    """(*group, x_, at_): of distinct rows (*group, x_), each value with those of its group at most ``width`` from it."""
+    cells = lines.select(*group, F.col("x_").alias("at_"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _cell("x_", width) + d)).alias("c_"))
+    return lines.withColumn("c_", _cell("x_", width)).join(cells.hint("merge"), [*group, "c_"]).where(F.abs(F.col("x_") - F.col("at_")) <= width).drop("c_")
+
+
 def _reached(values: DataFrame, by: list[str], width: float) -> DataFrame:
     """(*by, v, near) of rows (*by, v, n, home) at home: the n of all rows of a group with abs(v - other) <= width, added up."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -180,9 +216,7 @@ def earlier_near(df: DataFrame, group: list[str], key: str, x: str, wide: float,
     here = df.select(*group, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"), F.col(key).cast("long").alias("k_"))
     here = here.where(" and ".join([*(f"`{c}` is not null" for c in [*group, "k_"]), *(f"abs({c}) < double('infinity')" for c in ("x_", "y_"))]))
     classes = here.groupBy(*group, "x_", "y_").agg(F.min("k_").alias("k_"))
-    lines = classes.select(*group, "x_").distinct()
-    cells = lines.select(*group, F.col("x_").alias("at_"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _cell("x_", wide) + d)).alias("c_"))
-    reach = lines.withColumn("c_", _cell("x_", wide)).join(cells.hint("merge"), [*group, "c_"]).where(F.abs(F.col("x_") - F.col("at_")) <= wide).drop("c_")
+    reach = _reach(classes.select(*group, "x_").distinct(), group, wide)
     asked = classes.drop("k_").join(reach.hint("merge"), [*group, "x_"]).select(*group, "at_", "x_", "y_", F.lit(0).cast("long").alias("k_"), F.lit(True).alias("asks_"))
     others = classes.select(*group, F.col("x_").alias("at_"), "x_", "y_", "k_", F.lit(False).alias("asks_"))
 

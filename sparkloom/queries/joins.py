@@ -43,7 +43,7 @@ def semi_anti_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.p_brand, a.p_type, a.p_partkey AS a_p_partkey, b.p_partkey AS b_p_partkey FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE abs(a.p_size - b.p_size) <= 2 AND abs(a.p_retailprice - b.p_retailprice) >= 30""")
 def self_pair_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", "p_size", "p_retailprice")
-    pairs = joins.pairs_within(part, ["p_brand", "p_type"], "p_partkey", lambda a, b: f"abs({a}p_size - {b}p_size) <= 2 and abs({a}p_retailprice - {b}p_retailprice) >= 30")
+    pairs = joins.pairs_within(part, ["p_brand", "p_type"], "p_partkey", lambda a, b: f"abs({a}p_retailprice - {b}p_retailprice) >= 30", band=("p_size", 2.0))
     return pairs.select("p_brand", "p_type", "a_p_partkey", "b_p_partkey")
 
 

@@ -55,3 +55,18 @@ def test_near_dup_flag_broadcasts_nothing(spark, tmp_path):
     spark.createDataFrame([(i, "n", "a", "t", i % 50, i / 7) for i in range(200)], PART).write.parquet(f"{tmp_path}/part.parquet")
     df = __spark_entry__.queries()["bucket_near_dup_flag"](spark, str(tmp_path))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_copies_in_many_partitions(spark, tmp_path, monkeypatch):
+    """A small table makes many pairs: partitions go by these, and a key's rows are dealt out."""
+    from sparkloom.operators import joins
+
+    monkeypatch.setattr(joins, "PAIR_TILE", 20)
+    monkeypatch.setattr(joins, "PAIRS_TRIED", 1000)
+    rng = random.Random(6)
+    rows = [(i, "n", rng.choice("ab"), rng.choice("tu"), rng.randrange(8), 900 + rng.randrange(1000) / 10) for i in range(150)]
+    rows += [(1000 * k + i, *r) for k in (1, 2, 3) for i, *r in rows]
+    rows += [(7, "n", "a", "t", 3, 5000.0), (8, "n", None, "t", 3, 1.0), (9, "n", "a", "t", None, 1.0), (None, "n", "a", "t", 3, 1.0)]
+    want = same_as_sql(spark, tmp_path, "self_pair_depth", part=(rows, PART))
+    assert len(want) > 10_000
+    assert __spark_entry__.queries()["self_pair_depth"](spark, str(tmp_path)).rdd.getNumPartitions() > 40
