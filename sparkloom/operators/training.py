@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +191,60 @@ def greedy_pack(lengths: list[int], capacity: int) -> list[int]:
     return bins
 
 
+#: Lengths of a list up to which lists are packed side by side.
+SIDE_BY_SIDE = 64
+
+
+def greedy_pack_lists(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """``greedy_pack`` of many lists, given one after the other with their sizes: short ones side by side."""
+    bins = np.full(len(lengths), -1, np.int64)
+    starts = np.cumsum(counts) - counts
+    for i in np.flatnonzero(counts > SIDE_BY_SIDE).tolist():
+        bins[starts[i] : starts[i] + counts[i]] = greedy_pack(lengths[starts[i] : starts[i] + counts[i]].tolist(), capacity)
+    short = np.flatnonzero((counts > 0) & (counts <= SIDE_BY_SIDE))
+    for width in (4, 8, 16, SIDE_BY_SIDE):  # lists of like sizes together
+        mine, short = short[counts[short] <= width], short[counts[short] > width]
+        if not len(mine):
+            continue
+        places = np.minimum(starts[mine, None] + np.arange(width), len(lengths) - 1)
+        n = np.where(np.arange(width) < counts[mine, None], lengths[places], capacity + 1)
+        # the largest first, of equal ones the last: one pass over them fills a bin with what still fits
+        order = np.lexsort((-np.tile(np.arange(width), (len(mine), 1)), -n))
+        n, found = np.ascontiguousarray(np.take_along_axis(n, order, 1).T), np.full((width, len(mine)), -1)
+        free, now = n <= capacity, 0
+        while free.any():
+            room = np.full(len(mine), capacity)
+            for j in range(width):
+                fits = free[j] & (n[j] <= room)
+                found[j][fits] = now
+                room -= np.where(fits, n[j], 0)
+                free[j] &= ~fits
+            now += 1
+        back = np.full((len(mine), width), -1)
+        np.put_along_axis(back, order, found.T, 1)
+        real = np.arange(width) < counts[mine, None]
+        bins[places[real]] = back[real]
+    return bins
+
+
+def pack_lists(df: DataFrame, lengths: str, capacity: int) -> DataFrame:
+    """Adds bins, array<int>: each row's list of lengths packed by itself (-1 where longer than the capacity). For many short batches; see pack."""
+    names = [*df.columns, "bins"]
+    at = names.index(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[ends[0] : ends[-1]]
+            bins = greedy_pack_lists(values, np.diff(ends), capacity)
+            found = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(bins, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", bins array<int>"
+    return df.mapInArrow(run, fields)
+
+
 def pack(df: DataFrame, length: str, key: str, capacity: int, batch: list[str]) -> DataFrame:
     """Adds bin (null if longer than the capacity). Only lengths and keys of a batch meet in a task."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -203,10 +260,15 @@ def pack(df: DataFrame, length: str, key: str, capacity: int, batch: list[str])
 def assemble_packed(df: DataFrame, group: list[str], key: str, ids: str, cutoff: int, pad_id: int = 0) -> DataFrame:
     """One row a bin: input_ids padded to cutoff + 1, position_ids from 0 in each part, segment numbers and boundaries."""
     parts = df.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct(key, ids))), lambda x: x[ids]).alias("p"))
-    sizes = F.transform("p", lambda x: F.size(x))
+    return parts.select(*group, *assembled(F.col("p"), cutoff, pad_id))
+
+
+def assembled(p: Column, cutoff: int, pad_id: int = 0) -> list[Column]:
+    """input_ids, position_ids, segments and boundaries of a bin's parts (arrays of ids, in order)."""
+    sizes = F.transform(p, lambda x: F.size(x))
     ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    flat = lambda f: F.flatten(F.transform("p", f))
-    return parts.select(*group, pad(F.flatten("p"), cutoff + 1, pad_id).alias("input_ids"), pad(flat(lambda x: F.transform(x, lambda _, i: i)), cutoff + 1, 0).alias("position_ids"), pad(flat(lambda x, j: F.transform(x, lambda _: j + 1)), cutoff + 1, 0).alias("segments"), ends.alias("boundaries"))
+    flat = lambda f: F.flatten(F.transform(p, f))
+    return [pad(F.flatten(p), cutoff + 1, pad_id).alias("input_ids"), pad(flat(lambda x: F.transform(x, lambda _, i: i)), cutoff + 1, 0).alias("position_ids"), pad(flat(lambda x, j: F.transform(x, lambda _: j + 1)), cutoff + 1, 0).alias("segments"), ends.alias("boundaries")]
 
 
 def fixed_blocks(df: DataFrame, length: str, total_before: str, block: int) -> DataFrame:

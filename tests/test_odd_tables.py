@@ -70,3 +70,36 @@ def test_pairs_of_copies_in_many_partitions(spark, tmp_path, monkeypatch):
     want = same_as_sql(spark, tmp_path, "self_pair_depth", part=(rows, PART))
     assert len(want) > 10_000
     assert __spark_entry__.queries()["self_pair_depth"](spark, str(tmp_path)).rdd.getNumPartitions() > 40
+
+
+def test_pack_lists_as_one_by_one():
+    import numpy as np
+
+    from sparkloom.operators.training import greedy_pack, greedy_pack_lists
+
+    rng = random.Random(7)
+    lists = [[rng.randrange(0, 40) for _ in range(rng.choice([0, 1, 3, 7, 14, 30, 64, 65, 90]))] for _ in range(400)]
+    found = greedy_pack_lists(np.array([x for r in lists for x in r], np.int64), np.array([len(r) for r in lists]), 32)
+    assert found.tolist() == [x for r in lists for x in greedy_pack(r, 32)]
+
+
+def test_packed_sequences_without_a_task_call_per_order(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(o, rng.randrange(100), rng.randrange(9), i, float(rng.randrange(1, 51))) for o in range(300) for i in range(1, rng.randrange(2, 9))]
+    rows += [(1000, 1, 1, i, float(q)) for i, q in enumerate([33, 50, 100, 32, 0, 31] * 40, 1)] + [(1001, 1, 1, 1, None), (1002, 1, 1, 1, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = __spark_entry__.queries()["packed_sequences"](spark, str(tmp_path))
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    found = df.collect()
+    from sparkloom.operators.training import greedy_pack
+
+    want = set()
+    for o in {r[0] for r in rows}:
+        pieces = [min(32, int(q) - i) for *_, q in sorted((r for r in rows if r[0] == o), key=lambda r: r[3]) if q for i in range(0, int(q), 32)]
+        bins = greedy_pack(pieces, 32)
+        for b in set(bins):
+            ends = [0]
+            for n, at in zip(pieces, bins, strict=True):
+                ends += [ends[-1] + n] if at == b else []
+            want.add((o, b, 33, ",".join(map(str, ends))))
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
