@@ -280,6 +280,20 @@ def test_nearly_equal_passages_are_found(spark, group):
     assert len({r["doc_id"] for r in rows if r["doc_id"] < 60}) >= 58 and all(r["doc_id"] < 60 for r in rows)
 
 
+def test_common_passages_with_a_word_changed_are_found(spark):
+    """What nearly all documents hold is common in the sample; the changed word's shingles are not, and nobody else has them."""
+    rng = random.Random(23)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = words(52), []
+    for i in range(200):
+        p = list(passage)
+        p[26] = f"v{i}"
+        texts.append(words(30) + p + words(30))
+    df = docs(spark, [" ".join(t) for t in texts])
+    assert len(substrings.common_shingles(df, "doc_id", "text")) > 30
+    assert len({r["doc_id"] for r in substrings.repeated_passages(df).collect()}) >= 190
+
+
 def test_passages_awkward_rows(spark):
     df = awkward(spark)
     rows = substrings.repeated_passages(df).collect()
